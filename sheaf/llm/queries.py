@@ -26,3 +26,24 @@ def op1_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.repair import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op5_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op8_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.piecebpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
