@@ -10,7 +10,9 @@ bytes.
 
 No piece has the word mark after another character, so no merge crosses from a word to
 the next mark. A text is cut there, and words met before come from a bounded cache; the
-table is built for new words only. A vocabulary with other pieces is not cut.
+table is built for new words only. Where no piece mixes letters with other characters,
+words are cut between these too, but marks stay with what follows. A vocabulary with
+other pieces is not cut there.
 
 Defined cases: a null text is an empty one: its ids are the begin and end ids; repeated
 rows and null document ids each come back; an empty table gives no rows; other columns
@@ -20,6 +22,7 @@ are ignored; texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -30,6 +33,12 @@ from pyspark.sql import functions as F
 from sheaf.runtime import quoted, ship
 
 MARK = "▁"
+_WHOLE = re.compile(r"(?s).+")
+_UNITS = re.compile(r"▁*[^\W\d_]+|▁*[\W\d_]")
+
+
+def _letter(c: str) -> bool:
+    return bool(re.match(r"[^\W\d_]", c))
 
 
 class PieceCoder:
@@ -58,16 +67,17 @@ class PieceCoder:
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.text_of = {i: p for p, i in self.ids.items()}
         self.cuts = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.limit = cache_words
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
+        self.runs: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if len(p) > 1 and self._merged(p) == [p]:  # a piece that merges never build is no token
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (p, len(p), {}))  # with the tests made so far of tokens before it
         self.automaton.make_automaton()
-        self.longest = max(map(len, self.ids))
+        mixed = any(_letter(p[k]) != _letter(p[k + 1]) for p in self.ids for k in range(len(p) - 1) if p[k] != MARK)
+        self.units = _WHOLE if mixed else _UNITS
 
     def _merged(self, text: str) -> list[str]:
         """The definition: merge the neighbours of best score, leftmost first, until none."""
@@ -84,57 +94,50 @@ class PieceCoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether ``a`` next to ``b`` encodes to just these two."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(a + b) == [a, b]
-        return known
-
     def tokens(self, text: str) -> list[str]:
         """The encoding of marked text as pieces; characters outside the vocabulary as they are."""
         n = len(text)
         if n < 2:
             return [text] if text else []
         last: list[str] = [""] * n  # the prefix table: last token of the prefix that ends here
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for at, piece in self.automaton.iter(text):
-            ends[at].append(piece)
-        pairs, compatible = self.pairs, self.compatible
-        for at in range(n):
-            for piece in ends[at]:  # the longest first
-                before = at - len(piece)
-                if before < 0:
-                    last[at] = piece
-                    break
-                left = last[before]
-                fits = pairs.get((left, piece))
-                if fits or fits is None and compatible(left, piece):
-                    last[at] = piece
-                    break
-            else:
-                last[at] = text[at]
+        for at, (piece, size, fitting) in self.automaton.iter(text):  # by end, the longest first
+            if last[at]:
+                continue
+            if size > at:
+                last[at] = piece
+                continue
+            before = at - size
+            left = last[before] or text[before]
+            fits = fitting.get(left)
+            if fits is None:
+                fits = fitting[left] = self._merged(left + piece) == [left, piece]
+            if fits:
+                last[at] = piece
         out = []
         at = n - 1
         while at >= 0:
-            out.append(last[at])
-            at -= len(last[at])
+            piece = last[at] or text[at]
+            out.append(piece)
+            at -= len(piece)
         out.reverse()
         return out
 
     def _word(self, word: str) -> tuple[bytes, str]:
         """Ids as bytes, and the text they decode to."""
+        return b"".join([self.runs.get(u) or self._run(u) for u in self.units.findall(word)]), word.replace(MARK, " ")
+
+    def _run(self, run: str) -> bytes:
         ids: list[int] = []
-        for piece in self.tokens(word):
+        for piece in self.tokens(run):
             known = self.ids.get(piece)
             if known is None:
                 ids += [self.byte_id[b] for b in piece.encode("utf-8")]
             else:
                 ids.append(known)
-        return struct.pack(f"<{len(ids)}I", *ids), word.replace(MARK, " ")
+        if len(self.runs) > self.limit:
+            self.runs.clear()
+        data = self.runs[run] = struct.pack(f"<{len(ids)}I", *ids)
+        return data
 
     def words(self, text: str) -> list[str]:
         """Cut before every mark that follows another character."""

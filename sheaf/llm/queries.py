@@ -47,3 +47,17 @@ def op10_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.piecebpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
