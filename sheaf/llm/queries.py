@@ -84,3 +84,39 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.linechunks import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, count_col="chunks_removed")
+
+
+@query
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from sheaf.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join("sentence_ids", " ").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+    )
+
+
+def _sql_twins() -> None:
+    from sheaf.llm import licenses, linechunks
+
+    ORACLE_SQL["op3_line_chunk_dedup"] = (
+        f"WITH {linechunks.ORACLE_DEDUP} SELECT d.doc_id, x.text, coalesce(x.chunks_removed, 0) AS chunks_removed "
+        "FROM documents d LEFT JOIN deduped x USING (doc_id)"
+    )
+    ORACLE_SQL["op4_license_rules"] = licenses.oracle()
+
+
+_sql_twins()
