@@ -167,3 +167,21 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = predict(rows.select("doc_id", "text"), ranked, length)
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def only_known(docs: DataFrame, ranked: dict[str, list[int]], text_col: str, length: int = 300) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language among
+    ``ranked``; without any learned language, those with a letter."""
+    ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(ranked, length)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(place).to_pylist()
+                found = [profiles.predict(t)[0] != UNKNOWN if ranked else len(ngrams(t)[0]) > 0 for t in texts]
+                yield part.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)

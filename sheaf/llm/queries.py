@@ -120,3 +120,12 @@ def _sql_twins() -> None:
 
 
 _sql_twins()
+
+
+@query
+def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no sound, so each embedding is played as a melody."""
+    from sheaf.llm.chroma import recordings, render
+
+    found = recordings(table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=render)
+    return found.withColumnRenamed("id", "vec_id")

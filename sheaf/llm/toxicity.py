@@ -262,3 +262,22 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     found = score(rows, model)
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def with_scores(docs: DataFrame, model: Model, text_col: str, keep) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose probability ``keep`` accepts."""
+    spark = docs.sparkSession
+    ship(spark)
+    place = docs.columns.index(text_col)
+    given = spark.sparkContext.broadcast((model.weight, model.bias, model.scale, model.shift))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*given.value)
+        scorer = Scorer(own)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [keep(own.probability(m)) for m in scorer.margins(part.column(place).to_pylist())]
+                yield part.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
