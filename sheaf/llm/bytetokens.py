@@ -1,9 +1,12 @@
 """Byte-level BPE ids through the tokenizers library, with a cache of words.
 
-The tokenizer's pre-tokenizer always starts a new unit at a space that stands between
-two characters that are not white space, and no merge crosses a unit. A text may
-therefore be cut at such spaces and its pieces encoded apart; a piece met before is
-taken from the cache. Any other white space stays inside a piece.
+The tokenizer's pre-tokenizer always starts a new unit at a space that stands between two
+characters that are not white space, and no merge crosses a unit. A text may therefore be
+cut at such spaces and its pieces encoded apart; a piece met before is taken from the
+cache. Texts with other white space around a space are cut with more care. A new word of
+common letters, digits, punctuation and line ends is cut into its units, and units not met
+before go straight to the library's merge model; any other new word goes to the whole
+tokenizer.
 """
 
 from __future__ import annotations
@@ -14,82 +17,99 @@ import re
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Words whose units the tokenizer's own pattern finds without doubt about the Unicode version.
+_COMMON = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ!-~\n]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters for themselves, the others by the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
 class ByteTokens:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``cache_words`` bounds a generation of cached words; two generations are kept.
-    A null text is encoded like an empty one: no ids.
+    ``cache_words`` bounds a generation of cached words; two generations are kept. A null
+    text is encoded like an empty one: no ids.
     """
 
     def __init__(self, path: str, cache_words: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        size = self.tok.get_vocab_size()
-        pieces = [self.tok.id_to_token(i) or "" for i in range(size)]
-        self.opens = np.array([p.startswith("Ġ") for p in pieces])
+        self.model = self.tok.model
+        self.units_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.letters = {b: c for b, c in enumerate(_byte_letters())}
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         self.limit = cache_words
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, heads: set[str], tails: set[str]) -> None:
-        """Fill the caches with these. A full cache becomes the old generation, from which
-        words still in use are taken over."""
-        if len(self.tails) > self.limit:
-            self.old, self.tails = self.tails, {}
-        if len(self.heads) > self.limit // 8:
-            self.heads = {}
-        heads = heads.difference(self.heads)
-        tails = tails.difference(self.tails)
-        known = {w for w in tails if w in self.old}
-        self.tails.update((w, self.old[w]) for w in known)
-        tails -= known
-        if heads:
-            group = list(heads)
-            self.heads.update(zip(group, self._whole(group)))
-        plain = list(tails)
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):  # a piece whose own ids open with a space twice
-                self.tails.update(zip(part, self._whole([" " + w for w in part])))
-                continue
-            data = ids.tobytes()
-            bounds = [*(starts * 4).tolist(), len(data)]
-            self.tails.update((w, data[a:b]) for w, a, b in zip(part, bounds, bounds[1:]))
+    def _unit(self, unit: str) -> bytes:
+        if unit.isascii() and unit[-1] != "\n":
+            shown = unit.replace(" ", self.letters[32])
+        else:
+            shown = unit.encode("utf-8").decode("latin-1").translate(self.letters)
+        packed = self.packed
+        data = b"".join([packed[t.id] for t in self.model.tokenize(shown)])
+        if len(self.units) > self.limit:
+            self.units.clear()
+        self.units[unit] = data
+        return data
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if not _COMMON.fullmatch(word) or self.added is not None and self.added.search(word):
+            return self.whole([" " + word])[0]
+        if word.isalpha():
+            return self._unit(" " + word)
+        units = self.units
+        return b"".join([units.get(u) or self._unit(u) for u in self.units_of(" " + word)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. Works on a few megabytes of text at a time."""
+        """Ids of each text."""
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            size, upto = 0, at
-            while upto < len(texts) and (upto == at or size < 2_000_000):
-                size += len(texts[upto] or "")
-                upto += 1
-            out += self._encode_some(texts[at:upto])
-            at = upto
+        for text in texts:
+            if len(self.tails) > self.limit:
+                self.old, self.tails = self.tails, {}
+            if len(self.heads) > self.limit // 8:
+                self.heads = {}
+            out.append(self._text(text) if text else b"")
         return out
 
-    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split(" ") if t else None for t in texts]
-        words: set[str] = set().union(*(p for p in split if p))
-        odd = {w for w in words.difference(self.tails) if not w or w[0].isspace() or w[-1].isspace()}
-        apart: dict[int, bytes] = {}
-        if odd:
-            for i, p in enumerate(split):
-                if p and (p[0][-1:].isspace() or not odd.isdisjoint(p)):
-                    cut = _CUT.split(texts[i])
-                    apart[i] = b"".join(self._whole(cut))
-        words -= odd
-        self._learn({p[0] for i, p in enumerate(split) if p and i not in apart}, words)
-        return [apart[i] if i in apart else b"".join([self.heads[p[0]], *map(self.tails.__getitem__, p[1:])]) if p else b"" for i, p in enumerate(split)]
+    def _text(self, text: str) -> bytes:
+        words = text.split(" ")
+        tails = self.tails
+        found = list(map(tails.get, words))
+        head = self.heads.get(words[0])
+        if head is None:
+            if words[0][-1:].isspace():
+                return self._with_care(text)
+            head = self.heads[words[0]] = self.whole([words[0]])[0]
+        found[0] = head
+        old = self.old
+        for at in [i for i, data in enumerate(found) if data is None]:
+            word = words[at]
+            data = tails.get(word) or old.get(word)
+            if data is None:
+                if not word or word[0].isspace() or word[-1].isspace():
+                    return self._with_care(text)
+                data = self._word(word)
+            found[at] = tails[word] = data
+        return b"".join(found)
+
+    def _with_care(self, text: str) -> bytes:
+        return b"".join(self.whole(_CUT.split(text)))
