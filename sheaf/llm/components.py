@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.runtime import materialize
+from sheaf.runtime import materialize, ship
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, up) of a bounded graph: every node with the smallest node it reaches."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = top(a), top(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "up"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", finish: int = 250_000) -> DataFrame:
     """(node, root) for every node that has an edge to another; root is the component's
     smallest node.
 
@@ -17,12 +39,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round, which shrinks any graph, a long path too, by a constant share. Rounds end when
     no edge is left. Nodes' choices are minima, so they are combined before the shuffle
     and a node with very many neighbours costs no more than its partial minima. Each
-    round's tables are written to the shared folder.
+    round's tables are written to the shared folder. As soon as a counted ``finish`` edges
+    or fewer are left, a few megabytes, one task ends the work.
     """
     spark = edges.sparkSession
     left = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     maps: list[DataFrame] = []
-    while not left.isEmpty():
+    while (n := left.count()) > 0:
+        if n <= finish:
+            ship(spark)
+            maps.append(materialize(left.coalesce(1).mapInArrow(_finish, "node long, up long"), "choice"))
+            break
         salt = F.lit(len(maps) + 1)
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
         # the hash decides, the node itself breaks ties; both fit one mutable aggregate buffer
