@@ -9,9 +9,9 @@ on all windows with their document's label, then with only the most toxic window
 documents as positives. A last logistic step maps the document's margin to a probability
 at the labels' own rate.
 
-Training takes at most about ``train_docs`` documents of each label, chosen by a hash of
-their id, and only texts up to ``train_chars`` characters: the documented bound of the
-sample that the driver holds. Scoring reads whole texts.
+Training takes at most about ``train_toxic`` and ``train_clean`` documents, chosen by a
+hash of their id, and only texts up to ``train_chars`` characters: the documented bound of
+the sample that the driver holds. Scoring reads whole texts.
 
 Since all of it is linear up to the softmax, a word's contribution is one number; words
 met before come from a bounded cache.
@@ -24,6 +24,7 @@ training rows every score is the share of toxic ones, or 0; other columns are ig
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,7 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, cache_words: int = 400_000):
+    def __init__(self, model: Model, cache_words: int = 300_000):
         self.model, self.limit = model, cache_words
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
@@ -126,8 +127,16 @@ class Scorer:
 
 
 def _window_means(values: np.ndarray) -> np.ndarray:
-    """Means of windows of WINDOW words, half a window apart; of all words if fewer."""
+    """Means of windows of WINDOW words, half a window apart; of all words if fewer.
+
+    A word that repeats within a window's length counts once, so that one word over and over
+    is not taken for a passage. Words are told apart by their scores.
+    """
     n = len(values)
+    again = np.zeros(n, dtype=bool)
+    for d in range(1, min(WINDOW, n)):
+        again[d:] |= values[d:] == values[:-d]
+    values = np.where(again, 0.0, values)
     if n <= WINDOW:
         return np.array([values.sum() / WINDOW])
     total = np.concatenate(([0.0], np.cumsum(values)))
@@ -142,11 +151,16 @@ def fit(texts: list[str], labels: np.ndarray, share: float, *, dim: int = 8, ste
     """Fit on the sample; ``share`` is the labels' own rate of toxic documents."""
     zero = np.zeros(BUCKETS)
     words: dict[str, int] = {}
+    names: dict[str, int] = {}
     flat, doc_of = [], []
     for d, text in enumerate(texts):
-        mine = [words.setdefault(clean(w), len(words)) for w in text.split()]
+        raw = text.split()
+        for w in raw:
+            if w not in names:
+                names[w] = words.setdefault(clean(w), len(words))
+        mine = [names[w] for w in raw]
         for at in range(0, len(mine), WINDOW):
-            flat.append(mine[at : at + WINDOW])
+            flat.append(list(set(mine[at : at + WINDOW])))
             doc_of.append(d)
     if not flat or labels.min() == labels.max():
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
@@ -170,15 +184,15 @@ def fit(texts: list[str], labels: np.ndarray, share: float, *, dim: int = 8, ste
     params, first = [e, w, b], [np.zeros_like(p) for p in (e, w, b)]
     second = [np.zeros_like(p) for p in (e, w, b)]
 
-    def forward() -> tuple[np.ndarray, np.ndarray]:
-        vector = _sums(e[bucket], per) / per[:, None].astype(np.float32)
-        bag = _sums(vector[word_at], sizes) / np.float32(WINDOW)
-        return bag, bag @ (w[1] - w[0]) + (b[1] - b[0])
+    def margins() -> np.ndarray:
+        # averaging and the softmax's difference are linear, so sums of products do
+        vector = _sums((e @ (w[1] - w[0]))[bucket], per) / per
+        return _sums(vector[word_at], sizes) / WINDOW + (b[1] - b[0])
 
     starts = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1))
     of_doc = labels[doc[starts]]
     for step in range(sum(steps)):
-        bag, margin = forward()
+        margin = margins()
         p = 1 / (1 + np.exp(-margin))
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
         if step >= steps[0]:  # positives: the most toxic window of each toxic document, and what comes near it
@@ -189,9 +203,9 @@ def fit(texts: list[str], labels: np.ndarray, share: float, *, dim: int = 8, ste
             weight = np.where(pick, 0.5 / pick.sum(), np.where(hard, 0.5 / hard.sum(), 0.0)) * np.where(hard & (margin > 0), 20.0, 1.0)
         g = ((p - y) * weight).astype(np.float32)
         diff = w[1] - w[0]
-        gw = bag.T @ g
         g_word = _sums((g / np.float32(WINDOW))[window_at[by_word]], word_sizes) / per.astype(np.float32)
         g_bucket = _sums(g_word[owner[by_bucket]], bucket_sizes)
+        gw = g_bucket @ e
         grads = [g_bucket[:, None] * diff[None, :] + np.float32(decay / len(used)) * e, np.stack((-gw, gw)), np.array([-g.sum(), g.sum()], dtype=np.float32)]
         for x, gx, m, v in zip(params, grads, first, second):
             m *= 0.9
@@ -222,13 +236,13 @@ def _calibrate(margin: np.ndarray, labels: np.ndarray, share: float) -> tuple[fl
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = 1000, train_chars: int = 100_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 1000, train_clean: int = 3000, train_chars: int = 100_000) -> Model:
     """``docs``: doc_id, text. ``labels``: doc_id, toxic (0 or 1)."""
     known = labels.where("toxic in (0, 1) and doc_id is not null")
     counts = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    most = F.when(F.col("toxic") == 1, F.lit(train_docs / max(1, counts.get(1, 0)))).otherwise(F.lit(train_docs / max(1, counts.get(0, 0))))
+    most = F.when(F.col("toxic") == 1, F.lit(train_toxic / max(1, counts.get(1, 0)))).otherwise(F.lit(train_clean / max(1, counts.get(0, 0))))
     chosen = known.where(draw < most).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # the sample is bounded by its parameter, so it may be broadcast
     rows = docs.where(F.length("text") <= train_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
@@ -236,14 +250,27 @@ def train(docs: DataFrame, labels: DataFrame, *, train_docs: int = 1000, train_c
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64), share)
 
 
+_scorers: dict[tuple, Scorer] = {}
+
+
+def _scorer(state: tuple) -> Scorer:
+    """The worker's scorer for a model; its cache outlives a task, another model replaces it."""
+    weight, bias, scale, shift = state
+    key = (zlib.crc32(weight.tobytes()), bias, scale, shift)
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(Model(*state))
+    return _scorers[key]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of rows ``doc_id, text``."""
     ship(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.scale, model.shift))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*given.value)
-        scorer = Scorer(own)
+        scorer = _scorer(given.value)
+        own = scorer.model
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -254,11 +281,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-             threshold: float = 0.3, train_docs: int = 1000) -> DataFrame:
+             threshold: float = 0.3, **sample: int) -> DataFrame:
     """doc_id, held_out, score, predicted; documents of fold 2 of 4 are never trained on."""
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     marks = labels.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(label_col)).alias("toxic"))
-    model = train(rows, marks.where(fold(F.col("doc_id"), 4) != 2), train_docs=train_docs)
+    model = train(rows, marks.where(fold(F.col("doc_id"), 4) != 2), **sample)
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     found = score(rows, model)
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -272,8 +299,8 @@ def with_scores(docs: DataFrame, model: Model, text_col: str, keep) -> DataFrame
     given = spark.sparkContext.broadcast((model.weight, model.bias, model.scale, model.shift))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*given.value)
-        scorer = Scorer(own)
+        scorer = _scorer(given.value)
+        own = scorer.model
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
