@@ -113,3 +113,13 @@ class ByteTokens:
 
     def _with_care(self, text: str) -> bytes:
         return b"".join(self.whole(_CUT.split(text)))
+
+
+_coders: dict[str, ByteTokens] = {}
+
+
+def coder(path: str) -> ByteTokens:
+    """One coder for each Python worker: its vocabulary and caches outlive a task."""
+    if path not in _coders:
+        _coders[path] = ByteTokens(path)
+    return _coders[path]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.bytetokens import ByteTokens
+from sheaf.llm import bytetokens
 from sheaf.runtime import quoted, ship
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -130,7 +130,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     groups = max(1, -(-docs.count() // group_docs))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteTokens(tokenizer)
+        coder = bytetokens.coder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         now, serial = None, 0
         names: list[int | None] = []

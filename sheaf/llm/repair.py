@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.llm.bytetokens import ByteTokens
+from sheaf.llm import bytetokens
 from sheaf.runtime import new_path, quoted, ship
 
 MAGIC = 0x3150524552464853
@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "d
     ship(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteTokens(tokenizer)
+        coder = bytetokens.coder(tokenizer)
         vocabulary = coder.tok.get_vocab_size()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
