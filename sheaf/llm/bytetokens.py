@@ -16,6 +16,8 @@ import re
 
 import numpy as np
 
+from sheaf.llm import workercache
+
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Words whose units the tokenizer's own pattern finds without doubt about the Unicode version.
 _COMMON = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ!-~\n]+")
@@ -36,7 +38,7 @@ class ByteTokens:
     text is encoded like an empty one: no ids.
     """
 
-    def __init__(self, path: str, cache_words: int = 350_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -48,6 +50,7 @@ class ByteTokens:
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
+        self.alpha_added = any(a.isalpha() for a in added)
         self.limit = cache_words
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -72,6 +75,8 @@ class ByteTokens:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with a space before it."""
+        if word.isascii() and word.isalpha() and not self.alpha_added:
+            return self._unit(" " + word)
         if not _COMMON.fullmatch(word) or self.added is not None and self.added.search(word):
             return self.whole([" " + word])[0]
         if word.isalpha():
@@ -115,11 +120,6 @@ class ByteTokens:
         return b"".join(self.whole(_CUT.split(text)))
 
 
-_coders: dict[str, ByteTokens] = {}
-
-
 def coder(path: str) -> ByteTokens:
     """One coder for each Python worker: its vocabulary and caches outlive a task."""
-    if path not in _coders:
-        _coders[path] = ByteTokens(path)
-    return _coders[path]
+    return workercache.keep(("bytes", path), lambda: ByteTokens(path))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.llm import workercache
 from sheaf.runtime import quoted, ship
 
 UNKNOWN = "und"
@@ -145,6 +146,7 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], length: int = 300) ->
     ship(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workercache.clear()
         profiles = Profiles(ranked, length)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -176,6 +178,7 @@ def only_known(docs: DataFrame, ranked: dict[str, list[int]], text_col: str, len
     place = docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workercache.clear()
         profiles = Profiles(ranked, length)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

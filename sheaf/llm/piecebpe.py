@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm import workercache
 from sheaf.runtime import quoted, ship
 
 MARK = "▁"
@@ -250,11 +251,6 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
     return rows.mapInArrow(scan, DIGEST)
 
 
-_coders: dict[str, PieceCoder] = {}
-
-
 def _coder(path: str) -> PieceCoder:
     """One coder for each Python worker: its tables and caches outlive a task."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    return workercache.keep(("pieces", path), lambda: PieceCoder(path))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm import workercache
 from sheaf.llm.components import components
 from sheaf.runtime import materialize, quoted, ship
 
@@ -74,6 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workercache.clear()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -190,6 +192,7 @@ def links(distinct: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
     pairs = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workercache.clear()
         held: list[np.ndarray] = []
         for batch in batches:
             group = batch.column(0).to_numpy().astype(np.int64) << 40 | batch.column(1).to_numpy().astype(np.int64) << 20 | batch.column(2).to_numpy()

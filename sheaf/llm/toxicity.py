@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm import workercache
 from sheaf.llm.langid import fold
 from sheaf.runtime import quoted, ship
 
@@ -250,17 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 1000, train_
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64), share)
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def _scorer(state: tuple) -> Scorer:
     """The worker's scorer for a model; its cache outlives a task, another model replaces it."""
     weight, bias, scale, shift = state
-    key = (zlib.crc32(weight.tobytes()), bias, scale, shift)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(Model(*state))
-    return _scorers[key]
+    key = ("toxicity", zlib.crc32(weight.tobytes()), bias, scale, shift)
+    return workercache.keep(key, lambda: Scorer(Model(*state)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
