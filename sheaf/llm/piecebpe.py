@@ -192,14 +192,19 @@ class PieceCoder:
                 run.clear()
 
         for (i,) in struct.iter_unpack("<I", ids):
+            if i == self.bos or i == self.eos:
+                continue
             if i in value:
                 run.append(value[i])
                 continue
             flush()
-            out.append(self.text_of.get(i, ""))
+            piece = self.text_of.get(i, "")
+            if piece[:1] == MARK and not out:  # the dummy prefix, if the first piece has it
+                piece = piece[1:]
+                out.append("")
+            out.append(piece.replace(MARK, " "))
         flush()
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text[:1] == " " else text
+        return "".join(out)
 
 
 def _scrub(data: bytes) -> str:

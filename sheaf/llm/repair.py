@@ -92,6 +92,12 @@ def compress(ids: np.ndarray, first: int, rounds: int = 4, per_round: int = 4000
         before = np.concatenate(([none], rank[:-1]))
         after = np.concatenate((rank[1:], [none]))
         at = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))
+        again = np.flatnonzero((rank < none) & (rank == before))  # in runs of one symbol every other pair goes
+        if len(again):
+            opens = np.concatenate(([True], again[1:] != again[:-1] + 1))
+            start = again[np.flatnonzero(opens)][np.cumsum(opens) - 1] - 1
+            more = again[((again - start) % 2 == 0) & (before[start] > rank[again]) & (after[again] >= rank[again])]
+            at = np.sort(np.concatenate((at, more)))
         used = np.unique(rank[at])
         name = np.zeros(none, dtype=np.int64)
         name[used] = np.arange(len(used)) + first + made
