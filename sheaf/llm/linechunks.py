@@ -84,7 +84,7 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, min_lines: int,
     first = shared.groupBy("h", "chunk").agg(
         F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th", "idx")).alias("first"), F.count("*").alias("n")
     )
-    kept = first.where("n > 1").select("h", "chunk", "first")
+    kept = materialize(first.where("n > 1").select("h", "chunk", "first"), "kept")  # apart, so that a skewed join can be split
     other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("idx") == F.col("first.idx")))
     return shared.join(kept, ["h", "chunk"]).where(other).select("id", "th", "idx")
 
