@@ -50,7 +50,8 @@ class ByteTokens:
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
-        self.alpha_added = any(a.isalpha() for a in added)
+        #: Whether an added token may lie in a word of letters and one punctuation mark.
+        self.alpha_added = any(a[:1].isalpha() or len(a) == 1 for a in added)
         self.limit = cache_words
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -67,22 +68,36 @@ class ByteTokens:
         else:
             shown = unit.encode("utf-8").decode("latin-1").translate(self.letters)
         packed = self.packed
-        data = b"".join([packed[t.id] for t in self.model.tokenize(shown)])
-        if len(self.units) > self.limit:
-            self.units.clear()
-        self.units[unit] = data
+        return b"".join([packed[t.id] for t in self.model.tokenize(shown)])
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of a word that makes one unit with the space before it."""
+        data = self.tails.get(word) or self.old.get(word) or self._unit(" " + word)
+        self.tails[word] = data
+        return data
+
+    def _bare(self, unit: str) -> bytes:
+        """Ids of a unit without a space before it."""
+        data = self.units.get(unit)
+        if data is None:
+            if len(self.units) > self.limit // 8:
+                self.units.clear()
+            data = self.units[unit] = self._unit(unit)
         return data
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with a space before it."""
-        if word.isascii() and word.isalpha() and not self.alpha_added:
-            return self._unit(" " + word)
+        if not self.alpha_added and word.isascii():
+            if word.isalpha():
+                return self._unit(" " + word)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self._spaced(word[:-1]) + self._bare(word[-1])
         if not _COMMON.fullmatch(word) or self.added is not None and self.added.search(word):
             return self.whole([" " + word])[0]
         if word.isalpha():
             return self._unit(" " + word)
-        units = self.units
-        return b"".join([units.get(u) or self._unit(u) for u in self.units_of(" " + word)])
+        first, *rest = self.units_of(" " + word)
+        return self._spaced(first[1:]) + b"".join(map(self._bare, rest))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text."""
