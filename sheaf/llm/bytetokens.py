@@ -21,6 +21,11 @@ from sheaf.llm import workercache
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Words whose units the tokenizer's own pattern finds without doubt about the Unicode version.
 _COMMON = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ!-~\n]+")
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-&(-/:-@\[-`{-~]"
+#: Of them, letters and then marks, and perhaps the same again after a line end: each run is a unit.
+_PLAIN = re.compile(f"({_LETTERS}+)({_MARKS}+)?(?:\n({_LETTERS}+)({_MARKS}+)?)?")
+#: What added tokens must not look like for no such word to hold one.
+_INSIDE_PLAIN = re.compile(f"{_LETTERS}*{_MARKS}*(?:\n{_LETTERS}*{_MARKS}*)?")
 
 
 def _byte_letters() -> list[str]:
@@ -50,8 +55,7 @@ class ByteTokens:
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.packed = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
-        #: Whether an added token may lie in a word of letters and one punctuation mark.
-        self.alpha_added = any(a[:1].isalpha() or len(a) == 1 for a in added)
+        self.plain = not any(_INSIDE_PLAIN.fullmatch(a) for a in added)
         self.limit = cache_words
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -64,7 +68,7 @@ class ByteTokens:
 
     def _unit(self, unit: str) -> bytes:
         if unit.isascii() and unit[-1] != "\n":
-            shown = unit.replace(" ", self.letters[32])
+            shown = self.letters[32] + unit[1:] if unit[0] == " " else unit
         else:
             shown = unit.encode("utf-8").decode("latin-1").translate(self.letters)
         packed = self.packed
@@ -87,15 +91,21 @@ class ByteTokens:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word with a space before it."""
-        if not self.alpha_added and word.isascii():
-            if word.isalpha():
+        plain = _PLAIN.fullmatch(word) if self.plain else None
+        if plain:
+            letters, marks, line, end = plain.groups()
+            if letters == word:
                 return self._unit(" " + word)
-            if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                return self._spaced(word[:-1]) + self._bare(word[-1])
+            data = self._spaced(letters)
+            if marks:
+                data += self._bare(marks)
+            if line:
+                data += self._bare("\n") + self._bare(line)
+                if end:
+                    data += self._bare(end)
+            return data
         if not _COMMON.fullmatch(word) or self.added is not None and self.added.search(word):
             return self.whole([" " + word])[0]
-        if word.isalpha():
-            return self._unit(" " + word)
         first, *rest = self.units_of(" " + word)
         return self._spaced(first[1:]) + b"".join(map(self._bare, rest))
 

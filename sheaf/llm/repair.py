@@ -46,7 +46,9 @@ def _most_frequent(seq: np.ndarray, limit: int, least: int) -> np.ndarray:
     """The pairs that occur at least ``least`` times, most frequent first, as a << 32 | b."""
     wide = np.uint32 if seq.itemsize == 2 else np.uint64
     shift = 16 if seq.itemsize == 2 else 32
-    keys = (seq[:-1].astype(wide) << wide(shift)) | seq[1:].astype(wide)
+    keys = seq[:-1].astype(wide)
+    keys <<= wide(shift)
+    keys |= seq[1:]
     keys.sort()
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     counts = np.diff(np.append(at, len(keys)))
@@ -58,18 +60,29 @@ def _most_frequent(seq: np.ndarray, limit: int, least: int) -> np.ndarray:
 
 
 def _ranks(seq: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """For every position the rank of the pair that starts there, or len(pairs)."""
+    """For every position the rank of the pair that starts there, or len(pairs); one more of
+    these stands at each end."""
     none = len(pairs)
+    kind = np.uint16 if none < 1 << 16 else np.uint32
     a, b = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
-    mix = lambda x, y: ((x * np.uint32(0x9E3779B1)) ^ (y * np.uint32(0x85EBCA77))) >> np.uint32(14)
-    slots = np.full(1 << 18, none, dtype=np.int32)
-    home = mix(a, b)
-    slots[home[::-1]] = np.arange(none - 1, -1, -1, dtype=np.int32)  # the more frequent keeps a shared slot
-    x, y = seq[:-1].astype(np.uint32), seq[1:].astype(np.uint32)
-    rank = slots[mix(x, y)]
+
+    def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        found, other = x.astype(np.uint32), y.astype(np.uint32)
+        found *= np.uint32(0x9E3779B1)
+        other *= np.uint32(0x85EBCA77)
+        found ^= other
+        found >>= np.uint32(14)
+        return found
+
+    slots = np.full(1 << 18, none, dtype=kind)
+    slots[mix(a, b)[::-1]] = np.arange(none - 1, -1, -1, dtype=kind)  # the more frequent keeps a shared slot
+    x, y = seq[:-1], seq[1:]
+    rank = np.empty(len(seq) + 1, dtype=kind)
+    rank[0] = rank[-1] = none
+    rank[1:-1] = slots[mix(x, y)]
     hit = np.flatnonzero(rank < none)
-    wrong = hit[(a[rank[hit]] != x[hit]) | (b[rank[hit]] != y[hit])]
-    rank[wrong] = none
+    of, at = rank[hit], hit - 1
+    rank[hit[(a[of] != x[at]) | (b[of] != y[at])]] = none
     return rank
 
 
@@ -87,10 +100,9 @@ def compress(ids: np.ndarray, first: int, rounds: int = 4, per_round: int = 4000
         pairs = _most_frequent(seq, min(per_round, top - made), least)
         if not len(pairs):
             break
-        rank = _ranks(seq, pairs)
         none = len(pairs)
-        before = np.concatenate(([none], rank[:-1]))
-        after = np.concatenate((rank[1:], [none]))
+        ranks = _ranks(seq, pairs)
+        before, rank, after = ranks[:-2], ranks[1:-1], ranks[2:]
         at = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))
         again = np.flatnonzero((rank < none) & (rank == before))  # in runs of one symbol every other pair goes
         if len(again):
@@ -130,6 +142,17 @@ def shard_bytes(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, fi
     return b"".join(p.tobytes() for p in parts)
 
 
+def _gather(symbols: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ids of all symbols one after another."""
+    n = length[symbols]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((start[symbols] - (ends - n)).astype(kind), n)
+    return flat[at]
+
+
 class Shard:
     """A decoded view of a shard's bytes."""
 
@@ -155,27 +178,28 @@ class Shard:
         self.symbols = take("<u2" if width == 2 else "<u4", symbols)
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All rules expanded once: flat ids, and each symbol's start and length in them."""
+        """All rules expanded once: flat ids, and each symbol's start and length in them. Rules
+        that use only symbols before them are expanded together."""
         length = np.concatenate((np.ones(self.first, np.int64), self.lengths.astype(np.int64)))
         start = np.concatenate(([0], np.cumsum(length)[:-1]))
         flat = np.empty(int(length.sum()), dtype="<u4")
         flat[: self.first] = np.arange(self.first)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            s = start[self.first + k]
-            la, lb = length[a], length[b]
-            flat[s : s + la] = flat[start[a] : start[a] + la]
-            flat[s + la : s + la + lb] = flat[start[b] : start[b] + lb]
+        highest = np.maximum.accumulate(self.rules.max(axis=1)) if len(self.rules) else self.rules
+        done = 0
+        while done < len(self.rules):
+            known = self.first + done
+            upto = int(np.searchsorted(highest, known, "left"))
+            if upto <= done:
+                raise ValueError("a rule of the shard uses itself or a later one")
+            got = _gather(self.rules[done:upto].ravel(), flat, start, length)
+            flat[start[known] : start[known] + len(got)] = got
+            done = upto
         return flat, start, length
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_flat"):
             self._flat = self._expansions()
-        flat, start, length = self._flat
-        n = length[symbols]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0)
-        at += np.repeat(start[symbols] - (ends - n), n)
-        return flat[at]
+        return _gather(symbols, *self._flat)
 
     def all_ids(self) -> np.ndarray:
         return self._expand(self.symbols)
