@@ -61,6 +61,28 @@ def test_byte_tokens_equal_the_library():
     assert got == want
 
 
+def test_plain_words_equal_the_library():
+    rng = random.Random(8)
+    coder = bytetokens.ByteTokens(BYTES, cache_words=300)
+    assert coder.plain
+    parts = ["a", "Über", "ñ", "the", "ing", ".", ",", "&&&", "!?", "'", "'s", "_", "-", "\n", "\n\n", " ", " ", " ", "7", "<|endoftext|>"]
+    for _ in range(4):  # later rounds meet words, and the words within them, in the caches
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in coder.tok.encode_batch(texts, add_special_tokens=False)]
+        assert coder.encode(texts) == want
+
+
+def test_damaged_rules_are_an_error():
+    blob = bytearray(repair.shard_bytes([1], np.array([64]), np.tile(np.array([3, 4], "<u4"), 32), 10, rounds=1))
+    shard = repair.Shard(bytes(blob))
+    assert len(shard.rules) and shard.all_ids().tolist() == [3, 4] * 32
+    shard = repair.Shard(bytes(blob))
+    shard.rules = shard.rules.copy()
+    shard.rules[0] = (10, 10)
+    with pytest.raises(ValueError):
+        shard.all_ids()
+
+
 def test_compress_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     for size, kinds, first in ((0, 5, 50257), (1, 5, 50257), (5000, 4, 50257), (5000, 60000, 200_000), (20_000, 1, 50257)):
