@@ -117,7 +117,8 @@ def fixed_windows(df: DataFrame, n: Column, window: int, hop: int) -> DataFrame:
 
 def chopped_windows(df: DataFrame, start: str, end: str, window: int, shortest: int) -> DataFrame:
     """Intervals cut into windows; pieces shorter than ``shortest`` go."""
-    out = df.withColumn("win_start", F.explode(F.sequence(F.col(start).cast("long"), F.col(end).cast("long") - 1, F.lit(window).cast("long"))))
+    starts = F.sequence(F.col(start).cast("long"), F.greatest(F.col(start), F.col(end) - 1).cast("long"), F.lit(window).cast("long"))
+    out = df.withColumn("win_start", F.explode(F.when(F.col(end) > F.col(start), starts)))
     out = out.withColumn("win_end", F.least(F.col("win_start") + window, F.col(end).cast("long")))
     return out.where(F.col("win_end") - F.col("win_start") >= shortest)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
-from sheaf.operators import dictionary, features, gather, intervals, lexical, readability, vectors
+from sheaf.operators import dictionary, features, gather, intervals, lexical, readability, transcripts, vectors
 from sheaf.runtime import table
 
 QUERIES: dict = {}
@@ -311,3 +311,45 @@ def speaker_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.posexplode(F.split("text", " ")).alias("k", "word"))
     at = F.col("turn") * 1000.0 + F.col("k")
     return run(words.select("conv_id", at.alias("o"), "word", "speaker", at.alias("start"), (at + 1).alias("end")), "conv_id", "o")
+
+
+@query("""WITH w AS (SELECT user_id, event_id, CASE WHEN event_id % 4 <> 0 THEN event_id * 1.0::DOUBLE END AS s, CASE WHEN event_id % 3 <> 0 THEN event_id + 0.5::DOUBLE END AS e FROM events)
+SELECT user_id, event_id, coalesce(s, last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS word_start,
+coalesce(e, first_value(s IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), s) AS word_end FROM w""")
+def word_time_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id").cast("double")
+    words = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 4 != 0, n).alias("word_start"), F.when(F.col("event_id") % 3 != 0, n + 0.5).alias("word_end"))
+    return intervals.fill_word_times(words, "user_id", "event_id", "word_start", "word_end")
+
+
+@query("""WITH r AS (SELECT event_id, CAST(round_even(CAST(value AS DOUBLE) * 1000.0::DOUBLE, 0) AS BIGINT) AS a, CAST(round_even((CAST(value AS DOUBLE) + (event_id % 7 - 1)) * 1000.0::DOUBLE, 0) AS BIGINT) AS b FROM events),
+c AS (SELECT event_id, greatest(0, least(a, 60000)) AS start_ms, greatest(0, least(b, 60000)) AS end_ms FROM r WHERE b - a >= 20)
+SELECT event_id, start_ms, end_ms FROM c WHERE end_ms - start_ms >= 20""")
+def turn_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns given in seconds of recordings of one minute."""
+    value = F.col("value").cast("double")
+    rows = table(spark, sf_dir, "events").select("event_id", value.alias("a"), (value + (F.col("event_id") % 7 - 1)).alias("b"))
+    return transcripts.valid_turns(rows, "a", "b", unit="s", length=F.lit(60000), least=20).select("event_id", "start_ms", "end_ms")
+
+
+@query("""SELECT doc_id, s AS win_start, least(s + 300, n) AS win_end FROM (SELECT doc_id, n_chars AS n, unnest(range(0, n_chars, 300)) AS s FROM documents) WHERE least(s + 300, n) - s >= 50""")
+def chopped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("a"), F.col("n_chars").alias("b"))
+    return intervals.chopped_windows(rows, "a", "b", 300, 50).select("doc_id", "win_start", "win_end")
+
+
+@query("""SELECT event_id, CASE WHEN m <= 1.1::DOUBLE * 60 THEN 's' WHEN m <= 1.1::DOUBLE * 60 * 1000 THEN 'ms' WHEN m <= 1.1::DOUBLE * 960000 THEN 'samples' ELSE 's' END AS unit
+FROM (SELECT event_id, CAST(value AS DOUBLE) * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 16000 ELSE 1000000 END AS m FROM events)""")
+def time_unit_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.element_at(F.array(F.lit(1), F.lit(1000), F.lit(16000), F.lit(1000000)), (F.col("event_id") % 4 + 1).cast("int"))
+    m = F.col("value").cast("double") * by
+    return table(spark, sf_dir, "events").select("event_id", intervals.guess_time_unit(m, F.lit(60.0), F.lit(960000.0)).alias("unit"))
+
+
+@query("""SELECT p_partkey, regexp_replace(replace(trim(n), ' ', '_'), '[^A-Za-z0-9_\\-]+', '_', 'g') AS speaker,
+regexp_replace(translate(trim(n), '/\\<>:"|?*', '__'), '\\s+', ' ', 'g') AS label, trim(regexp_replace(n, '[^0-9A-Za-z]+', '_', 'g'), '_') AS plain
+FROM (SELECT p_partkey, ' ' || p_name || ' /  "' || p_brand || '" <' || CAST(p_size AS VARCHAR) || '> ' AS n FROM part)""")
+def label_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.concat(F.lit(" "), "p_name", F.lit(' /  "'), "p_brand", F.lit('" <'), F.col("p_size").cast("string"), F.lit("> "))
+    rows = table(spark, sf_dir, "part").select("p_partkey", n.alias("n"))
+    return rows.select("p_partkey", transcripts.speaker_key(F.col("n")).alias("speaker"), transcripts.file_label(F.col("n")).alias("label"), transcripts.plain_label(F.col("n")).alias("plain"))

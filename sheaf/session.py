@@ -38,8 +38,15 @@ class Sheaf:
 
         return SimpleNamespace(**{n: getattr(intervals, n) for n in ("merge_turns", "word_speakers", "voiced_segments", "segment_stats", "pause_metrics", "fixed_windows", "turn_summary")}, utterances=speech.speaker_utterances)
 
+    @property
+    def audio(self) -> SimpleNamespace:
+        from sheaf.operators import sound, speech, transcripts
+
+        return SimpleNamespace(acoustics=sound.acoustics, turns=transcripts.valid_turns, speaker_sounds=transcripts.speaker_sounds,
+                               turn_acoustics=transcripts.turn_acoustics, backend=speech.run_backend, register_backend=speech.register_backend)
+
     @property
     def files(self) -> SimpleNamespace:
         from sheaf.sources import files, subtitles
 
-        return SimpleNamespace(csv=files.read_csv, csvs=files.gather_csvs, texts=files.read_texts, find=files.find_files, subtitles=subtitles.read_subtitles)
+        return SimpleNamespace(csv=files.read_csv, csvs=files.gather_csvs, texts=files.read_texts, find=files.find_files, subtitles=subtitles.read_subtitles, convert_subtitles=subtitles.convert)

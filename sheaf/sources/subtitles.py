@@ -95,6 +95,20 @@ def to_lines(cues: DataFrame, kind: str, *, name: str | None = None) -> DataFram
     return grouped.select("path", F.concat(head, F.array_join(block, "\n\n"), F.lit("\n")).alias("content"))
 
 
+def to_table(cues: DataFrame, *, name: str | None = None) -> DataFrame:
+    """path, cue, and the columns of a transcript table: whole milliseconds as text."""
+    times = [F.col(f"{k}_ms").cast("bigint").cast("string").alias(f"{k}_time") for k in ("start", "end")]
+    return cues.select("path", "cue", *times, *([F.coalesce(F.col(name), F.lit("")).alias("name")] if name else []), "text")
+
+
+def convert(spark: SparkSession, path: str, to: str, *, name: str | None = None) -> DataFrame:
+    """Subtitle files as ``csv`` rows, or as one ``srt`` or ``vtt`` content a file."""
+    if to not in ("csv", "srt", "vtt"):
+        raise ValueError("to is csv, srt or vtt")
+    cues = read_subtitles(spark, path)
+    return to_table(cues, name=name) if to == "csv" else to_lines(cues, to, name=name)
+
+
 def transcript_text(cues: DataFrame, speaker: str) -> DataFrame:
     """path and ``content``: a paragraph for every run of one speaker."""
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
-from sheaf.operators import dictionary, features, gather, intervals, lexical, readability, sound, speech, vectors
+from sheaf.operators import dictionary, features, gather, intervals, lexical, readability, sound, speech, transcripts, vectors
 from sheaf.plans import runner
 from sheaf.sources import files, subtitles
 
@@ -234,3 +234,51 @@ def test_command_line(spark, tmp_path, capsys):
     assert float(out["1"]) == pytest.approx(2 / 3) and float(out["2"]) == 1
     (tmp_path / "v.mp4").write_bytes(b"")
     assert cli.main(["find", str(tmp_path)]) == 0 and "v.mp4" in capsys.readouterr().out
+
+
+def test_transcript_columns_and_labels(spark):
+    assert transcripts.transcript_columns(["t0", "end_time", "spk", "from"]) == ("from", "end_time", "spk")
+    with pytest.raises(ValueError):
+        transcripts.transcript_columns(["t0", "t1"])
+    df = spark.createDataFrame([(1, " Ann  B/é "), (2, ""), (3, None), (4, "  ")], "k int, n string")
+    c = F.col("n")
+    rows = {r["k"]: tuple(r)[1:] for r in df.select("k", transcripts.speaker_key(c), transcripts.file_label(c), transcripts.plain_label(c)).collect()}
+    assert rows == {1: ("Ann__B_", "Ann B_é", "Ann_B"), 2: ("SPEAKER_0", "SPEAKER_0", "x"), 3: ("SPEAKER_0", "SPEAKER_0", "x"), 4: ("", "SPEAKER_0", "x")}
+
+
+def test_valid_turns(spark):
+    df = spark.createDataFrame([(1, "0.0005", "1"), (2, "x", "1"), (3, "2", "1"), (4, None, "1"), (5, "9", "12"), (6, "10.5", "12"), (7, "-1", "0.01")], "k int, a string, b string")
+    rows = [tuple(r) for r in transcripts.valid_turns(df, "a", "b", unit="s", length=F.lit(10000)).select("k", "start_ms", "end_ms").orderBy("k").collect()]
+    assert rows == [(1, 0, 1000), (5, 9000, 10000), (7, 0, 10)]
+    with pytest.raises(ValueError):
+        transcripts.valid_turns(df, "a", "b", unit="h")
+
+
+def test_windows_of_empty_intervals(spark):
+    df = spark.createDataFrame([(1, 0, 0), (2, 5, None), (3, 0, 7)], "k int, a int, b int")
+    assert [tuple(r) for r in intervals.chopped_windows(df, "a", "b", 5, 2).select("k", "win_start", "win_end").collect()] == [(3, 0, 5), (3, 5, 7)]
+
+
+def test_speaker_sounds_and_turn_acoustics(spark):
+    rate, x = 1000, np.linspace(-0.5, 0.5, 3000).astype(np.float32)
+    wavs = spark.createDataFrame([("r", bytearray(sound.encode(rate, x))), ("none", None)], "path string, content binary")
+    rows = [("r", 0, 400, "A b"), ("r", 400, 900, "A b"), ("r", 900, 930, "C"), ("r", 1000, 9000, "C"), ("r", 5000, 6000, "A b"), ("lost", 0, 9, "Z"), ("none", 0, 9, "Z")]
+    turns = spark.createDataFrame(rows, "path string, start_ms long, end_ms long, speaker string")
+    found = {r["speaker"]: r for r in transcripts.speaker_sounds(wavs, turns, silence_ms=100).collect()}
+    assert set(found) == {"A_b", "C"} and found["A_b"]["segments"] == 1
+    for who, a, b in (("A_b", 0, 900), ("C", 900, 3000)):
+        got_rate, y = sound.decode(bytes(found[who]["content"]))
+        assert got_rate == rate and len(y) == b - a + 200 and not y[:100].any() and not y[-100:].any()
+        assert np.abs(y[100:-100] - x[a:b]).max() < 1e-3
+    each = transcripts.turn_acoustics(wavs, turns).orderBy("start_ms").collect()
+    assert [(r["start_ms"], r["speaker"]) for r in each] == [(0, "A b"), (400, "A b"), (900, "C"), (1000, "C")]
+    assert all(math.isfinite(r["loudness_db"]) for r in each)
+
+
+def test_convert_subtitles(spark, tmp_path):
+    (tmp_path / "a.srt").write_text("1\n00:00:01,500 --> 00:00:02,000\nhi\n", encoding="utf-8")
+    rows = subtitles.convert(spark, str(tmp_path / "a.srt"), "csv").collect()
+    assert [(r["start_time"], r["end_time"], r["text"]) for r in rows] == [("1500", "2000", "hi")]
+    assert subtitles.convert(spark, str(tmp_path / "a.srt"), "vtt").first()["content"].startswith("WEBVTT\n\n00:00:01.500 --> 00:00:02.000\nhi")
+    with pytest.raises(ValueError):
+        subtitles.convert(spark, str(tmp_path / "a.srt"), "doc")
