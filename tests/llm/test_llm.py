@@ -144,6 +144,23 @@ def test_shifted_sound_aligns(spark):
         assert (best <= 0.15) == ((a, b) == (1, 2))
 
 
+def test_altered_sound_aligns_like_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for start, noise, least in ((300, 0.0, 1.0), (600, 0.0, 0.97), (600, 0.1, 0.97), (600, 0.2, 0.9)):  # cuts off the frame grid
+        rows, want = [], set()
+        for k in range(0, 120, 2):
+            rate, x = chroma.render(rng.normal(0, 1, 64).tolist())
+            y = x[start:] + noise * rng.normal(0, 1, len(x) - start)
+            a, b = (chroma.items(chroma.chroma(z, rate)) for z in (x, y))
+            rows += [(k, bytearray(a.astype("<u4").tobytes())), (k + 1, bytearray(b.astype("<u4").tobytes()))]
+            tries = [chroma.bit_error(a, b, o) for o in range(-20, 21)]
+            if min(e for e, n in tries if n >= 20) <= 0.15:
+                want.add((k, k + 1))
+        classes = spark.createDataFrame(rows, "class_id long, items binary")
+        found = {(r["a"], r["b"]) for r in chroma.align(classes, most_error=0.15, least_votes=2, least_overlap=20).collect()}
+        assert len(want) >= 50 and len(want & found) >= least * len(want), (start, noise, len(want & found), len(want))
+
+
 # ---- op3
 
 def chunks_of(text):
