@@ -1,10 +1,13 @@
 """Licence recognition by rules over sentences.
 
-A text is cut into sentences, at line ends and after a full stop, question or exclamation
-mark before white space. Sentences are normalised to lower-case letters and digits with
-single spaces and looked up among known licence sentences. A rule is an ordered list of
-sentence identifiers; it matches where a text's identifiers hold them in this order with
-at most ``gap`` other known sentences between two of them.
+A text is normalised to lower-case letters and digits with single spaces and bounds, which
+are line ends and stops (full stop, question or exclamation mark, colon, semicolon) before
+white space. A known licence sentence is found where its words run from a bound to a bound;
+bounds between its words do not matter, so it may be wrapped over lines, but a line without
+letters and digits ends it. Where several begin at one bound the longest is found, and
+before it the one that is just its first line. A rule is an ordered list of sentence
+identifiers; it matches where a text's identifiers hold them in this order with at most
+``gap`` other known sentences between two of them.
 
 Runs on built-in expressions over one row at a time: the known sentences are a small fixed
 map in the plan, so nothing is shuffled, however the table is skewed.
@@ -78,15 +81,22 @@ def normalized(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def sentences(text: Column) -> Column:
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r\f]+", "$1\n")
-    clean = F.transform(F.split(cut, "\n", -1), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(clean, lambda s: s != "")
+def bounded(text: Column) -> Column:
+    """The normalised text between bounds, each a ``|``; a line without letters gives two in a row."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?:;][ \t\r\f]++(?!\n)", "\n")
+    clean = F.regexp_replace(F.lower(F.concat(F.lit("\n"), cut, F.lit("\n"))), r"[^a-z0-9\n]+", " ")
+    return F.regexp_replace(clean, r" ?\n ?", "|")
 
 
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    longest = sorted((s for s in known.values() if s), key=len, reverse=True)
+    pattern = r"\|(?=(" + "|".join(s.replace(" ", "[ |]") for s in longest) + r")\|)"
+    runs = F.regexp_extract_all(bounded(text), F.lit(pattern), F.lit(1))
+    line = lambda run: F.substring_index(run, "|", 1)
+    names = F.transform(runs, lambda run: F.array(
+        F.when(run.contains("|"), F.try_element_at(table, line(run))), F.try_element_at(table, F.translate(run, "|", " "))))
+    return F.filter(F.flatten(names), lambda x: x.isNotNull())
 
 
 def rule_pattern(names: list[str], gap: int) -> str:

@@ -213,6 +213,64 @@ def test_licenses(spark, docs, none):
     assert all(licenses.normalized(s) == s for s in licenses.SENTENCES.values())
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "bsd-2-clause,bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "gpl-3.0-or-later": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.""",
+    "apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+def test_wrapped_licenses(spark):
+    texts = [*WRAPPED.values(), *(t.replace("\n", "\r\n") for t in WRAPPED.values())]
+    texts += ["Released under the\n\nMIT License", "Not released under the MIT License", "Licensed under the Apache License, Version 2.0\nthe License"]
+    found = [(r["sentence_ids"], ",".join(r["licenses"])) for r in licenses.scan(table(spark, [(k, t, None) for k, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert [x for _, x in found] == [*WRAPPED, *WRAPPED, "", "", "apache-2.0"]
+    assert found[3][0] == ["apache2-the-license", "apache2-not-use", "apache2-copy-at", "apache2-as-is", "apache2-see"]
+    assert found[-1][0] == ["apache2-licensed", "apache2-the-license"]
+
+
 # ---- op5
 
 def test_tree_is_first_fit():
