@@ -67,6 +67,7 @@ class PieceCoder:
         self.ids = {sp.id_to_piece(i): i for i in range(size) if i not in skip}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.text_of = {i: p for p, i in self.ids.items()}
+        self.shown = {i: p.replace(MARK, " ") for i, p in self.text_of.items()}
         self.cuts = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.limit = cache_words
         self.young: dict[str, tuple[bytes, str]] = {}
@@ -124,8 +125,12 @@ class PieceCoder:
         return out
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        """Ids as bytes, and the text they decode to."""
-        return b"".join([self.runs.get(u) or self._run(u) for u in self.units.findall(word)]), word.replace(MARK, " ")
+        """Ids as bytes, and the text these decode to inside a text."""
+        data = b"".join([self.runs.get(u) or self._run(u) for u in self.units.findall(word)])
+        try:
+            return data, "".join(map(self.shown.__getitem__, struct.unpack(f"<{len(data) // 4}I", data)))
+        except KeyError:  # bytes
+            return data, self.decode(data, inside=True)
 
     def _run(self, run: str) -> bytes:
         ids: list[int] = []
@@ -180,8 +185,9 @@ class PieceCoder:
             out.append((b"".join([begin, *(f[0] for f in found), end]), "".join([f[1] for f in found])[1:]))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of little-endian 32-bit ids; bytes that are no UTF-8 become U+FFFD."""
+    def decode(self, ids: bytes, inside: bool = False) -> str:
+        """The text of little-endian 32-bit ids; bytes that are no UTF-8 become U+FFFD. With
+        ``inside`` the ids follow others, so their first mark is a space."""
         out: list[str] = []
         run = bytearray()
         value = {i: b for b, i in self.byte_id.items()}
@@ -199,7 +205,7 @@ class PieceCoder:
                 continue
             flush()
             piece = self.text_of.get(i, "")
-            if piece[:1] == MARK and not out:  # the dummy prefix, if the first piece has it
+            if piece[:1] == MARK and not out and not inside:  # the dummy prefix, if the first piece has it
                 piece = piece[1:]
                 out.append("")
             out.append(piece.replace(MARK, " "))
@@ -230,7 +236,7 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", check_every: int = 64) -> DataFrame:
     """Per document the digests of its ids and of their decoded text.
 
-    What a word decodes to is kept beside its ids. Every ``check_every``-th document is
+    What a word's ids decode to is kept beside them. Every ``check_every``-th document is
     also decoded id by id, and a difference is an error.
     """
     ship(docs.sparkSession)

@@ -504,6 +504,14 @@ def test_pieces_equal_the_library(spark, docs, none):
     assert piecebpe.encode_documents(none, PIECES).count() == 0
 
 
+def test_decoded_text_comes_from_ids():
+    coder = piecebpe.PieceCoder(PIECES)
+    coder.ids["▁the"], coder.ids["é"] = coder.ids["▁of"], coder.ids["x"]  # wrong ids must show
+    (data, text), (other, shown) = coder.encode(["go the way", "日 é\x00é the"])
+    assert text == coder.decode(data) == "go of way"
+    assert shown == coder.decode(other) and shown.startswith("日 ") and shown.endswith(" of")
+
+
 def test_stray_bytes_decode_like_the_library():
     import sentencepiece
 
