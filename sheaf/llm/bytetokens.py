@@ -6,18 +6,27 @@ cut at such spaces and its pieces encoded apart; a piece met before is taken fro
 cache. Texts with other white space around a space are cut with more care. A new word of
 common letters, digits, punctuation and line ends is cut into its units, and units not met
 before go straight to the library's merge model; any other new word goes to the whole
-tokenizer.
+tokenizer. Words longer than ``CACHED`` characters are not kept, so the caches are bounded
+in bytes as well as in words.
+
+All of this holds for one kind of tokenizer, and its file says whether it is one: no
+normalizer, the byte-level pre-tokenizer with its own pattern and no prefix space, plain
+BPE. Texts of any other tokenizer go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from pathlib import Path
 
 import numpy as np
 
 from sheaf.llm import workercache
 
+#: Longest word, in characters, that a cache keeps.
+CACHED = 64
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Words whose units the tokenizer's own pattern finds without doubt about the Unicode version.
 _COMMON = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ!-~\n]+")
@@ -28,6 +37,15 @@ _PLAIN = re.compile(f"({_LETTERS}+)({_MARKS}+)?(?:\n({_LETTERS}+)({_MARKS}+)?)?"
 _INSIDE_PLAIN = re.compile(f"{_LETTERS}*{_MARKS}*(?:\n{_LETTERS}*{_MARKS}*)?")
 
 
+def is_byte_level(path: str) -> bool:
+    """Whether the tokenizer file is of the kind that may be cut at spaces."""
+    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    cut, model = data.get("pre_tokenizer") or {}, data.get("model") or {}
+    plain_model = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    plain_cut = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return data.get("normalizer") is None and plain_cut and plain_model and not data.get("truncation") and not data.get("padding")
+
+
 def _byte_letters() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: printable Latin-1
     characters for themselves, the others by the characters from 256 on, in order."""
@@ -50,6 +68,7 @@ class ByteTokens:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        self.cuts = is_byte_level(path)
         self.units_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -77,16 +96,19 @@ class ByteTokens:
     def _spaced(self, word: str) -> bytes:
         """Ids of a word that makes one unit with the space before it."""
         data = self.tails.get(word) or self.old.get(word) or self._unit(" " + word)
-        self.tails[word] = data
+        if len(word) <= CACHED:
+            self.tails[word] = data
         return data
 
     def _bare(self, unit: str) -> bytes:
         """Ids of a unit without a space before it."""
         data = self.units.get(unit)
         if data is None:
-            if len(self.units) > self.limit // 8:
-                self.units.clear()
-            data = self.units[unit] = self._unit(unit)
+            data = self._unit(unit)
+            if len(unit) <= CACHED:
+                if len(self.units) > self.limit // 8:
+                    self.units.clear()
+                self.units[unit] = data
         return data
 
     def _word(self, word: str) -> bytes:
@@ -111,6 +133,8 @@ class ByteTokens:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text."""
+        if not self.cuts:
+            return self.whole([t or "" for t in texts])
         out: list[bytes] = []
         for text in texts:
             if len(self.tails) > self.limit:
@@ -128,7 +152,9 @@ class ByteTokens:
         if head is None:
             if words[0][-1:].isspace():
                 return self._with_care(text)
-            head = self.heads[words[0]] = self.whole([words[0]])[0]
+            head = self.whole([words[0]])[0]
+            if len(words[0]) <= CACHED:
+                self.heads[words[0]] = head
         found[0] = head
         old = self.old
         for at in [i for i, data in enumerate(found) if data is None]:
@@ -138,7 +164,9 @@ class ByteTokens:
                 if not word or word[0].isspace() or word[-1].isspace():
                     return self._with_care(text)
                 data = self._word(word)
-            found[at] = tails[word] = data
+            if len(word) <= CACHED:
+                tails[word] = data
+            found[at] = data
         return b"".join(found)
 
     def _with_care(self, text: str) -> bytes:

@@ -72,6 +72,20 @@ def test_plain_words_equal_the_library():
         assert coder.encode(texts) == want
 
 
+def test_another_tokenizer_goes_to_the_library_whole(tmp_path):
+    import json
+
+    data = json.loads(open(BYTES, encoding="utf-8").read())
+    assert bytetokens.is_byte_level(BYTES)
+    data["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(data), encoding="utf-8")
+    coder = bytetokens.ByteTokens(str(path))
+    texts = ["the cat sat", "", None, " 'twas the night"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in coder.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert not coder.cuts and coder.encode(texts) == want != bytetokens.ByteTokens(BYTES).encode(texts)
+
+
 def test_damaged_rules_are_an_error():
     blob = bytearray(repair.shard_bytes([1], np.array([64]), np.tile(np.array([3, 4], "<u4"), 32), 10, rounds=1))
     shard = repair.Shard(bytes(blob))
@@ -491,10 +505,10 @@ def test_pieces_equal_the_library(spark, docs, none):
     rng = random.Random(15)
     parts = ["a", "th", "e", " ", "  ", "\n", "é", "▁", "\x00", "日本", "👍", "ing", "###", "12", "<s>", "<0x0A>", "ñ", "​", "xx", "o", "r", "_", "ﬁ", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + [LONG[:5000], "x" * 3000]
-    for (data, text), t in zip(coder.encode(texts), texts):
+    for data, t in zip(coder.encode(texts), texts):
         ids = list(struct.unpack(f"<{len(data) // 4}I", data))
         assert ids == sp.encode(t, add_bos=True, add_eos=True)
-        assert text == sp.decode(ids) == coder.decode(data)
+        assert coder.decode(data) == sp.decode(ids)
     got = rows_of(piecebpe.encode_documents(docs, PIECES), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     want = []
     for i, t, _ in ROWS:
@@ -507,9 +521,20 @@ def test_pieces_equal_the_library(spark, docs, none):
 def test_decoded_text_comes_from_ids():
     coder = piecebpe.PieceCoder(PIECES)
     coder.ids["▁the"], coder.ids["é"] = coder.ids["▁of"], coder.ids["x"]  # wrong ids must show
-    (data, text), (other, shown) = coder.encode(["go the way", "日 é\x00é the"])
-    assert text == coder.decode(data) == "go of way"
-    assert shown == coder.decode(other) and shown.startswith("日 ") and shown.endswith(" of")
+    assert [coder.decode(i) for i in coder.encode(["go the way", "日 é\x00é the", ""])] == ["go of way", "日 é\x00x of", ""]
+
+
+def test_words_without_spaces_leave_the_caches_small():
+    coders = [piecebpe.PieceCoder(PIECES, cache_words=5000, cache_tests=20_000), bytetokens.ByteTokens(BYTES, cache_words=5000)]
+    rng = random.Random(21)
+    texts = ["".join(chr(rng.randrange(97, 123)) for _ in range(rng.randint(100, 400))) for _ in range(10_000)]
+    for coder in coders:
+        for at in range(0, len(texts), 100):
+            coder.encode(texts[at : at + 100])
+    one, two = coders
+    held = [*one.young, *one.old, *one.runs, *two.heads, *two.tails, *two.old, *two.units]
+    assert max(map(len, held), default=0) <= piecebpe.CACHED
+    assert sum(map(len, one.tested)) <= 20_000 + 1000
 
 
 def test_stray_bytes_decode_like_the_library():
