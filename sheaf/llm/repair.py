@@ -5,20 +5,27 @@ which frequent neighbouring pairs are replaced, round after round, by nontermina
 shard stores the rules, how many ids every rule expands to, and the expanded position of
 every 64th symbol, so any range of ids decodes without the rest.
 
-A round counts all pairs of the shard, takes the most frequent ones as rules and replaces
-their occurrences; where chosen pairs overlap the more frequent one wins, then the left
-one. Rounds end when no pair is frequent, the rules are used up or ``rounds`` is reached.
+A round counts the shard's pairs, takes all that occur at least ``least`` times as rules
+and replaces their occurrences; where chosen pairs overlap the more frequent one wins, then
+the left one. Rounds go on until no pair is that frequent. A pair of symbols that both
+existed before a round only loses occurrences in it, so after the first round only the
+places beside new symbols and the places of pairs still frequent are counted again.
+
+``least`` is 8: a rule takes 12 bytes and each of its occurrences saves two to three, so
+rules for rarer pairs would cost more than they save. The number of rules has no other
+limit than 32-bit symbols.
 
 Shard layout, little-endian: a header of nine unsigned 64-bit integers (magic, first
-nonterminal, documents, rules, symbols, ids, symbol width in bytes, sample step, null
-document ids), then document ids (int64), null flags (one byte each), document ends
-(uint64), rules (two uint32 each), rule expansion lengths (uint64), sampled positions
-(uint64), symbols (uint16 or uint32).
+nonterminal, documents, rules, symbols, ids, bits of a symbol, sample step, null document
+ids), then document ids (int64), null flags (one byte each), document ends (uint64), rules
+(two uint32 each), rule expansion lengths (uint32), sampled positions (uint64), the low 16
+bits of all symbols (uint16), and a plane of bits for each bit above these. A sample's 64
+symbols begin at a whole byte of every plane.
 
 Defined cases: a null text is an empty one (its only id is the end id); a null document id
 sorts first and comes back as null; rows that repeat an id are separate documents, in the
-order of their texts; an empty table gives no shards. A document never spans two shards,
-so a shard holds at least one document, however long. Other columns are ignored.
+order of a hash of their texts; an empty table gives no shards. A document never spans two
+shards, so a shard holds at least one document, however long. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,108 +44,119 @@ from pyspark.sql import types as T
 from sheaf.llm import bytetokens
 from sheaf.runtime import new_path, quoted, ship
 
-MAGIC = 0x3150524552464853
+MAGIC = 0x3250524552464853
 STEP = 64
 _HEADER = 9
 
 
-def _most_frequent(seq: np.ndarray, limit: int, least: int) -> np.ndarray:
-    """The pairs that occur at least ``least`` times, most frequent first, as a << 32 | b."""
-    wide = np.uint32 if seq.itemsize == 2 else np.uint64
-    shift = 16 if seq.itemsize == 2 else 32
-    keys = seq[:-1].astype(wide)
-    keys <<= wide(shift)
-    keys |= seq[1:]
+def _overlapping(left: np.ndarray, right: np.ndarray, look: np.ndarray) -> np.ndarray:
+    """Where every other place of a run of one symbol is, whose pair overlaps the one before."""
+    twin = np.flatnonzero(left == right)
+    if not len(twin):
+        return twin
+    at = look[twin]
+    opens = np.concatenate(([True], at[1:] != at[:-1] + 1))
+    start = at[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+    return twin[(at - start) % 2 == 1]
+
+
+def _by_pair(left: np.ndarray, right: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as left << 32 | right in ascending order, and the place of each."""
+    bits = size.bit_length()
+    symbol = (64 - bits) // 2
+    if max(int(left.max()), int(right.max())) >> symbol:
+        keys = left.astype(np.uint64) << np.uint64(32) | right
+        order = np.argsort(keys, kind="stable")
+        return keys[order], place[order]
+    keys = left.astype(np.uint64)  # pair and place in one integer: a sort of values is much faster
+    keys <<= np.uint64(symbol)
+    keys |= right
+    keys <<= np.uint64(bits)
+    keys |= place.astype(np.uint64)
     keys.sort()
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    counts = np.diff(np.append(at, len(keys)))
-    often = np.flatnonzero(counts >= least)
-    order = often[np.lexsort((keys[at[often]], -counts[often]))][:limit]
-    chosen = keys[at[order]].astype(np.uint64)
-    mask = np.uint64((1 << shift) - 1)
-    return ((chosen >> np.uint64(shift)) << np.uint64(32)) | (chosen & mask)
-
-
-def _ranks(seq: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """For every position the rank of the pair that starts there, or len(pairs); one more of
-    these stands at each end."""
-    none = len(pairs)
-    kind = np.uint16 if none < 1 << 16 else np.uint32
-    a, b = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
-
-    def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        found, other = x.astype(np.uint32), y.astype(np.uint32)
-        found *= np.uint32(0x9E3779B1)
-        other *= np.uint32(0x85EBCA77)
-        found ^= other
-        found >>= np.uint32(14)
-        return found
+    found = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+    keys >>= np.uint64(bits)
+    return (keys >> np.uint64(symbol)) << np.uint64(32) | keys & np.uint64((1 << symbol) - 1), found
 
-    slots = np.full(1 << 18, none, dtype=kind)
-    slots[mix(a, b)[::-1]] = np.arange(none - 1, -1, -1, dtype=kind)  # the more frequent keeps a shared slot
-    x, y = seq[:-1], seq[1:]
-    rank = np.empty(len(seq) + 1, dtype=kind)
-    rank[0] = rank[-1] = none
-    rank[1:-1] = slots[mix(x, y)]
-    hit = np.flatnonzero(rank < none)
-    of, at = rank[hit], hit - 1
-    rank[hit[(a[of] != x[at]) | (b[of] != y[at])]] = none
-    return rank
 
-
-def compress(ids: np.ndarray, first: int, rounds: int = 4, per_round: int = 4000, least: int = 8):
+def compress(ids: np.ndarray, first: int, least: int = 8):
     """(symbols, rules as an n x 2 array, expansion length of each rule)."""
-    narrow = first + 256 <= 1 << 16
-    top = (1 << 16 if narrow else 1 << 31) - first
-    seq = ids.astype(np.uint16 if narrow else np.uint32)
+    if least < 2:
+        raise ValueError("a rule needs two occurrences")
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    lengths = np.ones(0, dtype=np.uint64)
+    lengths = np.ones(0, dtype=np.uint32)
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= top:
-            break
-        pairs = _most_frequent(seq, min(per_round, top - made), least)
-        if not len(pairs):
+    look = np.arange(max(0, len(seq) - 1))  # places whose pairs may be frequent
+    while len(look):
+        every = len(look) == len(seq) - 1
+        left, right = (seq[:-1], seq[1:]) if every else (seq[look], seq[look + 1])
+        odd = _overlapping(left, right, look)
+        place, later = look, look[odd]
+        if len(odd):
+            place, left, right = (np.delete(x, odd) for x in (look, left, right))
+        run, place = _by_pair(left, right, place, len(seq))
+        opens = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        counts = np.diff(np.append(opens, len(run)))
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        none = len(pairs)
-        ranks = _ranks(seq, pairs)
-        before, rank, after = ranks[:-2], ranks[1:-1], ranks[2:]
-        at = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))
-        again = np.flatnonzero((rank < none) & (rank == before))  # in runs of one symbol every other pair goes
-        if len(again):
-            opens = np.concatenate(([True], again[1:] != again[:-1] + 1))
-            start = again[np.flatnonzero(opens)][np.cumsum(opens) - 1] - 1
-            more = again[((again - start) % 2 == 0) & (before[start] > rank[again]) & (after[again] >= rank[again])]
-            at = np.sort(np.concatenate((at, more)))
-        used = np.unique(rank[at])
-        name = np.zeros(none, dtype=np.int64)
-        name[used] = np.arange(len(used)) + first + made
-        seq[at] = name[rank[at]].astype(seq.dtype)
+        often = often[np.argsort(-counts[often], kind="stable")]
+        pairs, none = run[opens[often]], len(often)
+        n = counts[often]
+        spread = np.repeat(opens[often] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        # of pairs that overlap the more frequent one wins, then the left one
+        rank = np.full(len(seq) + 1, none, dtype=np.int32)
+        rank[place[spread]] = np.repeat(np.arange(none, dtype=np.int32), n)
+        hit = np.flatnonzero(rank < none)
+        own = rank[hit]
+        wins = (own < rank[hit - 1]) & (own <= rank[hit + 1])
+        # what too few occurrences are left for is not replaced; the most frequent pair always is
+        uses = np.bincount(own[wins], minlength=none)
+        wins &= uses[own] >= least
+        at = hit[wins]
+        used = np.flatnonzero(uses >= least)
+        name = np.zeros(none, dtype=np.uint32)
+        name[used] = np.arange(first + made, first + made + len(used), dtype=np.uint32)
+        again = np.zeros(len(seq), dtype=bool)  # counted again: frequent pairs that lost, and what is beside new symbols
+        again[hit] = True
+        again[later] = True
+        again[at] = True
+        again[at - 1] = True
+        seq[at] = name[own[wins]]
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        seq, again = seq[keep], again[keep]
         two = np.stack(((pairs[used] >> np.uint64(32)).astype(np.uint32), pairs[used].astype(np.uint32)), axis=1)
         rules.append(two)
         lengths = np.concatenate((lengths, _length(two, first, lengths)))
         made += len(used)
+        look = np.flatnonzero(again[:-1])
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths
 
 
 def _length(symbols: np.ndarray, first: int, lengths: np.ndarray) -> np.ndarray:
     """Ids below each symbol; of a pair the sum."""
-    table = np.concatenate((np.ones(first, dtype=np.uint64), lengths))
+    table = np.concatenate((np.ones(first, dtype=np.uint32), lengths))
     found = table[symbols]
-    return found.sum(axis=1, dtype=np.uint64) if symbols.ndim == 2 else found
+    return found.sum(axis=1, dtype=np.uint32) if symbols.ndim == 2 else found
+
+
+def _planes(seq: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The low 16 bits of each symbol, then a plane of packed bits for each bit above."""
+    high = (seq >> np.uint32(16)).astype(np.uint16)
+    return [seq.astype("<u2"), *(np.packbits((high >> np.uint16(b)) & np.uint16(1) != 0) for b in range(bits - 16))]
 
 
 def shard_bytes(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, first: int, **how) -> bytes:
     seq, rules, lengths = compress(ids, first, **how)
     spans = _length(seq, first, lengths)
-    starts = np.concatenate(([0], np.cumsum(spans)[:-1])).astype("<u8") if len(seq) else np.zeros(0, "<u8")
+    starts = np.concatenate(([0], np.cumsum(spans, dtype=np.uint64)[:-1])).astype("<u8") if len(seq) else np.zeros(0, "<u8")
+    bits = max(16, int(seq.max(initial=0)).bit_length())
     nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
-    head = np.array([MAGIC, first, len(doc_ids), len(rules), len(seq), len(ids), seq.itemsize, STEP, int(nulls.sum())], dtype="<u8")
+    head = np.array([MAGIC, first, len(doc_ids), len(rules), len(seq), len(ids), bits, STEP, int(nulls.sum())], dtype="<u8")
     known = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
-    parts = (head, known, nulls, ends.astype("<u8"), rules.astype("<u4"), lengths.astype("<u8"), starts[::STEP], seq)
+    parts = (head, known, nulls, ends.astype("<u8"), rules.astype("<u4"), lengths.astype("<u4"), starts[::STEP], *_planes(seq, bits))
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -160,7 +178,7 @@ class Shard:
         head = np.frombuffer(data, "<u8", _HEADER)
         if int(head[0]) != MAGIC:
             raise ValueError("not a grammar shard")
-        self.first, docs, rules, symbols, self.n_ids, width, self.step, _ = (int(x) for x in head[1:])
+        self.first, docs, rules, symbols, self.n_ids, bits, self.step, _ = (int(x) for x in head[1:])
         at = 8 * _HEADER
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -173,9 +191,18 @@ class Shard:
         self.doc_ids = [None if z else int(d) for d, z in zip(known, nulls)]
         self.ends = take("<u8", docs).astype(np.int64)
         self.rules = take("<u4", 2 * rules).reshape(-1, 2)
-        self.lengths = take("<u8", rules)
+        self.lengths = take("<u4", rules)
         self.samples = take("<u8", -(-symbols // self.step)).astype(np.int64)
-        self.symbols = take("<u2" if width == 2 else "<u4", symbols)
+        self.low = take("<u2", symbols)
+        self.high = [take("u1", -(-symbols // 8)) for _ in range(bits - 16)]
+
+    def symbols(self, start: int, stop: int) -> np.ndarray:
+        """Symbols from ``start``, a multiple of the sample step, to ``stop``."""
+        found = self.low[start:stop].astype(np.uint32)
+        for b, plane in enumerate(self.high):
+            bits = np.unpackbits(plane[start // 8 : -(-stop // 8)], count=len(found))
+            found |= bits.astype(np.uint32) << np.uint32(16 + b)
+        return found
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All rules expanded once: flat ids, and each symbol's start and length in them. Rules
@@ -202,7 +229,7 @@ class Shard:
         return _gather(symbols, *self._flat)
 
     def all_ids(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        return self._expand(self.symbols(0, len(self.low)))
 
     def read(self, start: int, length: int) -> np.ndarray:
         """Ids ``start`` to ``start + length`` of the shard, from the symbols around them only."""
@@ -211,7 +238,7 @@ class Shard:
             return np.zeros(0, dtype="<u4")
         a = int(np.searchsorted(self.samples, start, "right")) - 1
         b = int(np.searchsorted(self.samples, stop, "left"))
-        got = self._expand(self.symbols[a * self.step : b * self.step])
+        got = self._expand(self.symbols(a * self.step, min(b * self.step, len(self.low))))
         base = int(self.samples[a])
         return got[start - base : stop - base]
 
@@ -228,11 +255,13 @@ SHARDS = T.StructType([
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "doc_id", text_col: str = "text",
-                 end_id: int = 0, shard_ids: int = 1 << 20, rounds: int = 4, per_round: int = 4000) -> None:
+                 end_id: int = 0, shard_ids: int = 1 << 20, least: int = 8) -> None:
     """Encode every text, end it with ``end_id`` and write grammar shards to ``path``.
 
     Documents are dealt by ranges of their id, so the files' order is the ids' order and
-    each task compresses its own range. A shard is closed at ``shard_ids`` ids.
+    each task compresses its own range; many rows without an id, or of one id, are dealt by
+    a hash of their texts and by their place in the table too. A shard is closed at
+    ``shard_ids`` ids.
     """
     ship(docs.sparkSession)
 
@@ -249,7 +278,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "d
             nonlocal names, held, size, seq, before
             ends = np.cumsum([len(x) // 4 for x in held])
             ids = np.frombuffer(b"".join(held), "<u4")
-            blob = shard_bytes(names, ends, ids, vocabulary, rounds=rounds, per_round=per_round)
+            blob = shard_bytes(names, ends, ids, vocabulary, least=least)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([blob], pa.binary())],
@@ -271,7 +300,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "d
             yield close()
 
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("k"), F.col(quoted(text_col)).alias("t"))
-    rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(pack, SHARDS).write.parquet(path)
+    rows = rows.select("k", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("place"), "t")
+    rows.repartitionByRange("k", "h", "place").sortWithinPartitions("k", "h", "place").select("k", "t").mapInArrow(pack, SHARDS).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

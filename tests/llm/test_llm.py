@@ -87,9 +87,9 @@ def test_another_tokenizer_goes_to_the_library_whole(tmp_path):
 
 
 def test_damaged_rules_are_an_error():
-    blob = bytearray(repair.shard_bytes([1], np.array([64]), np.tile(np.array([3, 4], "<u4"), 32), 10, rounds=1))
+    blob = bytearray(repair.shard_bytes([1], np.array([64]), np.tile(np.array([3, 4], "<u4"), 8), 10))
     shard = repair.Shard(bytes(blob))
-    assert len(shard.rules) and shard.all_ids().tolist() == [3, 4] * 32
+    assert len(shard.rules) and shard.all_ids().tolist() == [3, 4] * 8
     shard = repair.Shard(bytes(blob))
     shard.rules = shard.rules.copy()
     shard.rules[0] = (10, 10)
@@ -102,13 +102,55 @@ def test_compress_round_trip_and_random_access():
     for size, kinds, first in ((0, 5, 50257), (1, 5, 50257), (5000, 4, 50257), (5000, 60000, 200_000), (20_000, 1, 50257)):
         ids = rng.integers(0, kinds, size).astype("<u4")
         cuts = sorted(rng.integers(0, size + 1, 3).tolist()) + [size]
-        shard = repair.Shard(repair.shard_bytes([5, None, 7, 8], np.array(cuts), ids, first, rounds=6))
+        shard = repair.Shard(repair.shard_bytes([5, None, 7, 8], np.array(cuts), ids, first))
         assert (shard.all_ids() == ids).all() and len(shard.all_ids()) == size and shard.doc_ids == [5, None, 7, 8]
         for _ in range(20):
             a, n = int(rng.integers(0, size + 1)), int(rng.integers(0, 50))
             assert (shard.read(a, n) == ids[a : a + n]).all()
         assert (shard.document(1) == ids[cuts[0] : cuts[1]]).all()
-    assert len(shard.symbols) < 2000
+    assert len(shard.low) < 30
+
+
+def brute_pairs(seq):
+    """Occurrences of each pair that do not overlap, counted from the left."""
+    found, last = {}, {}
+    for k, pair in enumerate(zip(seq, seq[1:])):
+        if last.get(pair) != k - 1:
+            found[pair], last[pair] = found.get(pair, 0) + 1, k
+    return found
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(22)
+    words = [rng.integers(0, 50_000, rng.integers(1, 9)) for _ in range(300)]
+    for ids, least in ((np.concatenate([words[k] for k in rng.zipf(1.3, 8000) % 300]), 8), (rng.integers(0, 3, 20_000), 2), (np.tile(rng.integers(0, 50_000, 553), 90), 8), (np.concatenate([words[k] for k in rng.integers(0, 300, 3000)]), 5)):
+        seq, rules, lengths = repair.compress(ids.astype("<u4"), 50257, least)
+        assert max(brute_pairs(seq.tolist()).values(), default=0) < least
+        flat = {k: [k] for k in range(50257)}
+        for k, (a, b) in enumerate(rules.tolist()):
+            flat[50257 + k] = flat[a] + flat[b]
+        assert [x for s in seq.tolist() for x in flat[s]] == ids.tolist() and [len(flat[50257 + k]) for k in range(len(rules))] == lengths.tolist()
+    # more rules than 16-bit symbols can name
+    ids = np.repeat(np.arange(40_000, dtype="<u4").reshape(-1, 2), 8, axis=0)[rng.permutation(160_000)].ravel()
+    shard = repair.Shard(repair.shard_bytes([1], np.array([len(ids)]), ids, 50257))
+    assert len(shard.rules) >= 20_000 and len(shard.high) and (shard.all_ids() == ids).all()
+    for _ in range(50):
+        a, n = int(rng.integers(0, len(ids))), int(rng.integers(0, 300))
+        assert (shard.read(a, n) == ids[a : a + n]).all()
+
+
+def test_many_rows_of_one_id_are_dealt_to_several_tasks(spark, tmp_path):
+    rows = [(None if k % 3 else 7, f"text {k % 50}") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        repair.write_shards(df, BYTES, str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(str(tmp_path / "s")).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(parts) == 4 and max(r["n"] for r in parts) < 2000
+    got = repair.encode_documents(df, BYTES).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: i is not None)
 
 
 def test_repair_query(docs, none, spark):
