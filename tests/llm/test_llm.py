@@ -331,29 +331,53 @@ def test_wrapped_licenses(spark):
 
 def test_tree_is_first_fit():
     rng = random.Random(9)
-    for _ in range(50):
-        sizes = [(k, 0, rng.randint(1, 60)) for k in range(rng.randint(0, 40))]
-        bins = packing.first_fit_decreasing(sizes, 64)
-        room, want = [], []
-        for p in sorted(sizes, key=lambda p: (-p[2], p[0])):
-            at = next((k for k, r in enumerate(room) if r >= p[2]), len(room))
-            if at == len(room):
-                room.append(64)
-                want.append([])
-            room[at] -= p[2]
-            want[at].append(p)
-        assert bins == want
-        packed = packing.pack_group([rng.randint(1, 300) for _ in range(20)], 64)
+    for _ in range(60):
+        pieces = [(k, 0, rng.randint(1, 60)) for k in range(rng.randint(0, 40))]
+        for most in (None, rng.randint(0, 12)):
+            bins, left = packing.first_fit_decreasing(pieces, 64, most)
+            room, want, none = [], [], []
+            for p in sorted(pieces, key=lambda p: (-p[2], p[0])):
+                at = next((k for k, r in enumerate(room) if r >= p[2]), len(room))
+                if at == len(room) and at == most:
+                    none.append(p)
+                    continue
+                if at == len(room):
+                    room.append(64)
+                    want.append([])
+                room[at] -= p[2]
+                want[at].append(p)
+            assert ([b for b in bins if b], left) == (want, none)
+
+
+def test_only_what_found_no_room_is_cut():
+    rng = random.Random(10)
+    for _ in range(40):
+        tokens = [rng.randint(1, 300) for _ in range(rng.randint(1, 60))]
+        packed = packing.pack_group(tokens, 64)
         totals = [sum(p[2] for p in s) for s in packed]
-        assert all(t == 64 or t & (t - 1) == 0 and t < 64 for t in totals)
+        assert packing.padding(packed, 64) == 0 and all(t == 64 or t & (t - 1) == 0 and t < 64 for t in totals)
+        rest = [(d, n - n % 64, n % 64) for d, n in enumerate(tokens) if n % 64]
+        bins, left = packing.first_fit_decreasing(rest, 64, sum(n for _, _, n in rest) // 64)
+        placed = {p for b in bins for p in b}
+        assert placed <= {p for s in packed for p in s} and sum(len(s) for s in packed) >= sum(n // 64 for n in tokens) + len(placed)
+        whole = packing.pack_group(tokens, 64, cut=False)
+        assert sorted(p for s in whole for p in s if p[2] < 64) == sorted(rest) and packing.padding(whole, 64) >= 0
 
 
 def test_packing(spark, docs, none):
-    out = packing.pack_documents(docs, BYTES, group_docs=3, group_limit=2).collect()
-    check_pieces(out, [(i, t) for i, t, _ in ROWS])
+    for how in ({"group_docs": 3}, {"group_docs": 1, "task_groups": 1}):
+        check_pieces(packing.pack_documents(docs, BYTES, **how).collect(), [(i, t) for i, t, _ in ROWS])
     assert packing.pack_documents(none, BYTES).count() == 0
 
 
+def test_equal_rows_are_spread_over_groups(spark):
+    out = packing.pack_documents(table(spark, [(1, "one two", "en")] * 600 + [(None, None, None)] * 600).repartition(4), BYTES, group_docs=100).collect()
+    per = {}
+    for r in out:
+        per.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert len(per) == 12 and max(map(len, per.values())) < 200 and len(out) >= 1200
+
+
 def check_pieces(out, rows):
     want = sorted((str(i), k, v) for i, t in rows for k, v in enumerate(library_ids(t)))
     ids = {}
