@@ -410,14 +410,44 @@ def test_maxscore_against_brute_force(spark):
         if q % 20 == 0:
             best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:20]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
-    for how in ({}, {"shard_rows": 64, "query_rows": 3}, {"broadcast_bytes": 0, "shard_rows": 100, "query_rows": 4}):
+    for how in ({}, {"shard_rows": 64}, {"shard_rows": 100, "pass_bytes": 1000}):
         out = maxscore.top_k(df.repartition(3), **how)
         assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     assert maxscore.top_k(df.where("false")).count() == 0
     few = maxscore.top_k(df.where("vec_id in (0, 20)"))
     assert rows_of(few, "query_id", "rank", "vec_id") == [(0, 1, 20), (20, 1, 0)]
-    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [1.0])], "vec_id long, embedding array<double>")
-    assert rows_of(maxscore.top_k(twice), "query_id", "vec_id", "score") == [(0, 1, 4096)]
+
+
+def test_every_row_of_a_repeated_id_is_a_query_of_its_own(spark):
+    schema = "vec_id long, embedding array<double>"
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [1.0])], schema)
+    assert rows_of(maxscore.top_k(twice), "query_id", "rank", "vec_id", "score") == [(0, 1, 0, 4096), (0, 1, 0, 4096), (0, 2, 1, 4096), (0, 2, 1, 4096)]
+    other = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
+    want = sorted([(0, 1, 1, 4096), (0, 2, 0, 0), (0, 3, 2, 0), (0, 1, 2, 4096), (0, 2, 0, 0), (0, 3, 1, 0)])
+    for df in (other, other.orderBy(F.desc("vec_id")), other.repartition(3)):
+        assert sorted(tuple(r) for r in maxscore.top_k(df).collect()) == want
+
+
+def test_lists_are_traversed_probed_and_skipped():
+    rng = np.random.default_rng(23)
+    n, width, k = 4000, 48, 10
+    sparse = np.where(rng.random((n, width)) < 0.05, rng.integers(1, 60, (n, width)), 0)
+    dense = np.floor(64 * rng.normal(0, 0.12, (n, width))).astype(int)
+    for values, most in ((sparse, 0.9), (dense, 0.9)):
+        kind = maxscore.exact_kind(values, values)
+        shard, total = maxscore.ShardSearch(np.arange(n), values, kind), 0
+        for at in range(40):
+            q = values[at].astype(kind)
+            want = np.sort(values @ values[at])[::-1][:k]
+            rows, scores = shard.search(q, k, -np.inf)
+            assert np.sort(scores)[::-1][:k].tolist() == want.tolist() and (values[rows] @ values[at] == scores).all()
+            total += sum(len(shard.postings(t, q[t])) for t in np.flatnonzero(q))
+        assert shard.traversed < most * total and shard.probed > 0 and shard.skipped > 0.05 * total
+        assert all(shard.search(values[at].astype(kind), k, 1e9)[0].size == 0 for at in range(40))  # nothing is essential
+    for t in range(4):
+        for w in (1.0, -1.0):
+            added = w * values[shard.postings(t, w), t]
+            assert (np.diff(added) <= 0).all() and len(added) == (w * values[:, t] > (w * values[:, t]).min()).sum()
 
 
 # ---- op7
