@@ -2,16 +2,21 @@
 
 A fingerprint is eight bytes. Two that differ in at most four bits differ in at most four
 bytes, so they share at least four positional bytes: that is the guaranteed minimum of
-matches. The index has a posting list for every pair of byte positions in ``POSITIONS``
-and the two bytes there. The seven pairs lie within three groups of positions, and any
-four of eight positions have two in one group; so every pair of fingerprints that reaches
-the minimum meets in a posting list. In each list the shared positional bytes of a pair
-are tallied over all eight positions, pairs with fewer than the minimum are dropped and
-the rest are verified by their differing bits.
-
-Only distinct fingerprints are indexed, and a list never gives out its pairs: it gives a
+matches, and the count filter.
+
+The index has a posting list for each byte position and byte. Tallying over whole lists
+would touch a share of all pairs, so lists are dealt out first: by the bytes at each of
+several sets of positions, chosen so that any four of the eight positions hold one set.
+Pairs that reach the minimum therefore meet in some task. The sets are pairs of positions,
+or triples, or fours, whichever keeps what meets small for the number of fingerprints
+(:func:`position_sets`); each choice finds the same pairs. Where they meet, posting lists
+of all eight positions are built over the members, each member's positional bytes are
+looked up in them and its matches are tallied; pairs with fewer than the minimum are dropped
+and the rest are verified by their differing bits.
+
+Only distinct fingerprints are indexed, and a task never gives out its pairs: it gives a
 spanning forest of its links, which has fewer edges than members and the same components.
-A list longer than ``block`` is cut into blocks and worked on by pairs of blocks.
+More than ``block`` members are cut into blocks and worked on by pairs of blocks.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; a null
 document id has a fingerprint, and its component is the smallest non-null id reachable,
@@ -22,19 +27,37 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.llm import workercache
 from sheaf.llm.components import components
 from sheaf.runtime import materialize, quoted, ship
 
-#: Pairs of byte positions: all pairs within the groups 0-2, 3-5 and 6-7.
-POSITIONS = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (6, 7)]
-_LOW = np.uint64(0x0101010101010101)
+_GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
+
+
+def position_sets(size: int) -> list[tuple[int, ...]]:
+    """Sets of ``size`` positions of which any four positions hold one. Pairs: those within
+    three groups of positions. Triples: those within a group, and two of a group with one of
+    the next. Fours: all."""
+    if size == 4:
+        return list(combinations(range(8), 4))
+    found = [c for g in _GROUPS for c in combinations(g, size)]
+    if size == 3:
+        found += [(*c, d) for g, h in zip(_GROUPS, (*_GROUPS[1:], _GROUPS[0])) for c in combinations(g, 2) for d in h]
+    return found
+
+
+def set_size(fingerprints: int) -> int:
+    """Positions in a set, so that some 256 different fingerprints meet on average."""
+    return 2 if fingerprints <= 1 << 24 else 3 if fingerprints <= 1 << 32 else 4
 
 
 def shingle_hashes(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
@@ -70,9 +93,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long with the same bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fp and the columns ``keep``: the fingerprint as a signed long with the same bits."""
     ship(docs.sparkSession)
+    keep = keep or {}
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"), *[c.alias(n) for n, c in keep.items()])
+    kept = list(keep)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), *rows.schema.fields[2:]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         workercache.clear()
@@ -80,85 +107,94 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [_signed(fingerprint(t, words)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+                more = [part.column(2 + c) for c in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64()), *more], names=["doc_id", "fp", *kept])
 
-    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, fp long")
+    return rows.mapInArrow(scan, schema)
 
 
 def matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The tally: how many of the eight positional bytes two fingerprints share."""
-    x = a ^ b
-    x |= x >> np.uint64(4)
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)
-    return 8 - np.bitwise_count(x & _LOW)
-
-
-def linked(a: np.ndarray, b: np.ndarray, bits: int, least: int) -> np.ndarray:
-    """Places where the tally reaches ``least`` and the bits that differ are few enough."""
-    reach = np.flatnonzero(matches(a, b) >= least)
-    other = b[reach] if np.ndim(b) else b
-    return reach[np.bitwise_count(a[reach] ^ other) <= bits]
+    """The tally of pairs: how many of the eight positional bytes they share."""
+    return (a.view(np.uint8).reshape(-1, 8) == b.view(np.uint8).reshape(-1, 8)).sum(axis=1)
+
+
+class PostingLists:
+    """An inverted index of fingerprints by byte position and byte, which members leave."""
+
+    def __init__(self, fps: np.ndarray):
+        self.fps, self.left, self.next = np.ascontiguousarray(fps), len(fps), 0
+        self.there = np.ones(len(fps), dtype=bool)
+        own = self.fps.view(np.uint8).reshape(-1, 8)
+        self.members = [np.argsort(own[:, p], kind="stable") for p in range(8)]
+        self.starts = [np.concatenate(([0], np.cumsum(np.bincount(own[:, p], minlength=256)))) for p in range(8)]
+
+    def tally(self, fp: int) -> np.ndarray:
+        """For each member in how many of the fingerprint's eight posting lists it is."""
+        count = np.zeros(len(self.fps), dtype=np.uint8)
+        for p in range(8):
+            byte = fp >> 8 * p & 255
+            count[self.members[p][self.starts[p][byte] : self.starts[p][byte + 1]]] += 1
+        return count
+
+    def take(self, fp: int, bits: int, least: int) -> list[int]:
+        """The members linked to the fingerprint; they leave."""
+        if not self.left:
+            return []
+        if 2 * self.left < len(self.fps):
+            self.__init__(self.fps[self.there])
+        reach = np.flatnonzero((self.tally(fp) >= least) & self.there)
+        hit = reach[np.bitwise_count(self.fps[reach] ^ np.uint64(fp)) <= bits]
+        self.there[hit] = False
+        self.left -= len(hit)
+        return self.fps[hit].tolist()
+
+    def pop(self) -> int:
+        """Some member; it leaves."""
+        while not self.there[self.next]:
+            self.next += 1
+        self.there[self.next] = False
+        self.left -= 1
+        return int(self.fps[self.next])
 
 
 def forest(members: np.ndarray, others: np.ndarray | None, bits: int, least: int) -> list[tuple[int, int]]:
     """Spanning edges of the links among ``members``, or between them and ``others``.
 
-    A breadth-first search that takes each fingerprint out of the pool when it is reached;
-    so a clique costs one pass over the pool, and no more edges come out than members.
+    A search that takes each fingerprint out of the index when it is reached; so no more
+    edges come out than members, and a clique costs few looks at the index.
     """
+    one = PostingLists(members)
+    sides = [one, one if others is None else PostingLists(others)]
     edges: list[tuple[int, int]] = []
-    if others is None:
-        pool = members
-        while len(pool) > 1:
-            queue, pool = [pool[0]], pool[1:]
-            while queue and len(pool):
-                x = queue.pop()
-                hit = linked(pool, x, bits, least)
-                if len(hit):
-                    found = pool[hit]
-                    edges += [(int(x), int(y)) for y in found]
-                    queue += list(found)
-                    keep = np.ones(len(pool), dtype=bool)
-                    keep[hit] = False
-                    pool = pool[keep]
-        return edges
-    sides = [members, others]
-    while len(sides[0]):
-        queue, sides[0] = [(0, sides[0][0])], sides[0][1:]
+    while one.left:
+        queue = [(0, one.pop())]
         while queue:
             side, x = queue.pop()
-            pool = sides[1 - side]
-            if not len(pool):
-                continue
-            hit = linked(pool, x, bits, least)
-            if len(hit):
-                found = pool[hit]
-                edges += [(int(x), int(y)) for y in found]
-                queue += [(1 - side, y) for y in found]
-                keep = np.ones(len(pool), dtype=bool)
-                keep[hit] = False
-                sides[1 - side] = pool[keep]
+            found = sides[1 - side].take(x, bits, least)
+            edges += [(x, y) for y in found]
+            queue += [(1 - side, y) for y in found]
     return edges
 
 
 def _edges(rows: np.ndarray, bits: int, least: int, small: int = 16) -> pa.RecordBatch:
-    """Edges of whole groups. ``rows``: group, block, fingerprint, sorted by group.
+    """Edges of whole groups. ``rows``: list, the two blocks that meet, own block and
+    fingerprint, sorted by the first three, which name the group.
 
     Groups of at most ``small`` members are compared all at once, by shifts; larger ones
-    by a search each.
+    by posting lists of their own.
     """
-    group, own, fps = rows[:, 0], rows[:, 1], rows[:, 2].copy().view(np.uint64)
-    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(group)))
-    i, j = group >> 20 & 0xFFFFF, group & 0xFFFFF
+    i, j, own, fps = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4].copy().view(np.uint64)
+    opens = np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1))) if len(rows) else np.zeros(0, dtype=bool)
+    group, start = np.cumsum(opens), np.flatnonzero(opens)
+    size = np.diff(np.append(start, len(rows)))
     few = np.repeat(size <= small, size) & (i == j)
     ends: list[np.ndarray] = []
     for d in range(1, small):
         near = np.flatnonzero(few[d:] & (group[d:] == group[:-d]))
-        hit = near[linked(fps[near], fps[near + d], bits, least)]
-        ends.append(np.stack((fps[hit], fps[hit + d]), axis=1))
+        x, y = fps[near], fps[near + d]
+        hit = np.flatnonzero(matches(x, y) >= least)
+        hit = hit[np.bitwise_count(x[hit] ^ y[hit]) <= bits]
+        ends.append(np.stack((x[hit], y[hit]), axis=1))
     for at in np.flatnonzero((size > 1) & ~few[start]):
         a, b = start[at], start[at] + size[at]
         part, side = fps[a:b], own[a:b] == i[a]
@@ -168,25 +204,27 @@ def _edges(rows: np.ndarray, bits: int, least: int, small: int = 16) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def links(distinct: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 4, block: int = 4096, positions: int | None = None, broadcast_rows: int = 500_000) -> DataFrame:
     """(a, b): a spanning forest of the links between distinct fingerprints ``fp``.
 
-    The posting lists are counted first, combined before the shuffle. A short list meets in
-    one task; a long one is dealt into blocks by a hash of the fingerprint, and every pair
-    of blocks is a group of its own.
+    What meets is counted first, combined before the shuffle. A short list meets in one
+    task; a long one is dealt into blocks by a hash of the fingerprint, and every pair of
+    blocks is a group of its own. ``positions`` sets the positions in a set, otherwise
+    their number follows the number of fingerprints.
     """
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees a meeting for at most four differing bits")
     least = 8 - bits
-    spark = distinct.sparkSession
-    ship(spark)
+    ship(distinct.sparkSession)
+    sets = position_sets(positions or set_size(distinct.count()))
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    lists = [(byte(p) * 256 + byte(q) + F.lit(k << 16)).cast("int") for k, (p, q) in enumerate(POSITIONS)]
+    lists = [reduce(lambda x, p: x * 256 + byte(p), places, F.lit(k).cast("long")) for k, places in enumerate(sets)]
     index = distinct.select("fp", F.explode(F.array(*lists)).alias("list"))
     long_lists = materialize(index.groupBy("list").count().where(F.col("count") > block), "lists")
     blocks = long_lists.select("list", F.ceil(F.col("count") * 2 / F.lit(block)).cast("int").alias("m"))
-    # lists are 7 * 65,536 at most, whatever the data: a proven bound for the broadcast
-    dealt = index.join(F.broadcast(blocks), "list", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    if long_lists.count() <= broadcast_rows:
+        blocks = F.broadcast(blocks)
+    dealt = index.join(blocks, "list", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     pairs = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
@@ -195,13 +233,14 @@ def links(distinct: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
         workercache.clear()
         held: list[np.ndarray] = []
         for batch in batches:
-            group = batch.column(0).to_numpy().astype(np.int64) << 40 | batch.column(1).to_numpy().astype(np.int64) << 20 | batch.column(2).to_numpy()
-            rows = np.stack((group, batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy()), axis=1)
-            cut = np.flatnonzero(group != group[-1])
-            if not len(cut) and held and held[0][0, 0] == group[-1]:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(5)], axis=1)
+            cut = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
+            if not len(cut) and held and (held[0][0, :3] == rows[-1, :3]).all():
                 held.append(rows)
                 continue
-            done = len(cut) and int(cut[-1]) + 1
+            done = int(cut[-1]) + 1 if len(cut) else 0
             yield _edges(np.concatenate([*held, rows[:done]]), bits, least)
             held = [rows[done:]]
         if held:
@@ -210,14 +249,42 @@ def links(distinct: DataFrame, bits: int = 4, block: int = 4096) -> DataFrame:
     return pairs.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, block: int = 4096) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
-    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, block: int = 4096,
+            keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fp, root, component_id, and the columns ``keep``: one row per row of ``docs``.
+    ``root`` is a fingerprint that names the component, also where no row of it has an id."""
+    rows = materialize(fingerprints(docs, id_col, text_col, words, keep), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     joined = components(links(classes.select("fp"), bits, block))
     # the component of a fingerprint is named by one of its fingerprints; its documents' least id follows
     of = classes.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    names = of.join(least, "root").select("fp", "component_id")
-    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(names, "fp").select("doc_id", shown, "component_id")
+    return rows.join(of.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, block: int = 4096) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+    found = grouped(docs, id_col=id_col, text_col=text_col, words=words, bits=bits, block=block)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which one of each component stays:
+    that of the smallest id, then of the smallest hash of its text, then of the first of all
+    its columns in order. Rows without an id come after all others."""
+    names = docs.columns
+    key = F.struct(F.col(quoted(id_col)).cast("long").isNull().alias("no"), F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("th"))
+    found = grouped(docs, id_col=id_col, text_col=text_col, keep={"th": F.xxhash64(F.col(quoted(text_col)))}, **how)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "th")).alias("__sheaf_kept"))
+    kept = materialize(kept.select("__sheaf_kept"), "kept")
+    left = docs.withColumn("__sheaf_key", key)
+    same = [F.col(f"__sheaf_key.{c}").eqNullSafe(F.col(f"__sheaf_kept.{c}")) for c in ("no", "id", "th")]
+    left = left.join(kept, reduce(lambda x, y: x & y, same), "left_semi")
+    # rows that are equal in id and text are still all there
+    again = found.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+    if again:
+        return left.select(*[F.col(quoted(n)) for n in names])
+    whole = F.struct(*[F.col(quoted(n)) for n in names])
+    least = F.min_by(whole, F.to_json(whole)) if "map<" in docs.schema.simpleString() else F.min(whole)  # maps have no order
+    one = left.groupBy("__sheaf_key").agg(least.alias("__sheaf_row")).select("__sheaf_row")
+    return one.select(*[F.col("__sheaf_row").getField(n).alias(n) for n in names])

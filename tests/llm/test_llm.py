@@ -546,14 +546,36 @@ def test_links_keep_all_components(spark):
     for p, t in zip(prints, brute_classes(prints)):
         want.setdefault(t, set()).add(simhash._signed(p))
     want = {frozenset(v) for v in want.values() if len(v) > 1}
-    for block, finish in ((4096, 250_000), (30, 0)):
-        edges = simhash.links(df, block=block)
+    for block, finish, positions in ((4096, 250_000, None), (30, 0, 2), (4096, 250_000, 3), (30, 250_000, 3), (4096, 250_000, 4)):
+        edges = simhash.links(df, block=block, positions=positions, broadcast_rows=500_000 if block > 30 else 0)
         got = {}
         for r in components.components(edges, finish=finish).collect():
             got.setdefault(r["root"], set()).add(r["node"])
         assert {frozenset(v) for v in got.values()} == want and all(min(v) == k for k, v in got.items())
 
 
+def test_any_four_positions_hold_a_set():
+    from itertools import combinations
+
+    for size, count in ((2, 7), (3, 20), (4, 70)):
+        sets = [set(c) for c in simhash.position_sets(size)]
+        assert len(sets) == count and all(any(s <= set(four) for s in sets) for four in combinations(range(8), 4))
+    assert [simhash.set_size(n) for n in (10, 1 << 24, 1 << 30, 1 << 33)] == [2, 2, 3, 4]
+
+
+def test_tally_counts_the_posting_lists():
+    rng = np.random.default_rng(24)
+    fps = rng.integers(0, 1 << 62, 500).astype(np.uint64)
+    fps[100:300] = fps[7] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    lists = simhash.PostingLists(fps)
+    for x in fps[:20].tolist():
+        want = [sum((x >> 8 * p & 255) == (y >> 8 * p & 255) for p in range(8)) for y in fps.tolist()]
+        assert lists.tally(x).tolist() == want and simhash.matches(np.full(500, x, np.uint64), fps).tolist() == want
+    near = [y for y in fps.tolist() if (y ^ int(fps[7])).bit_count() <= 4]
+    assert sorted(lists.take(int(fps[7]), 4, 4)) == sorted(near) and lists.left == 500 - len(near)
+    assert lists.take(int(fps[7]), 4, 4) == [] and lists.left == 500 - len(near)
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(500, 501), (501, 502), (500, 502), (9, 9)], "a long, b long")
@@ -646,6 +668,27 @@ def test_stray_bytes_decode_like_the_library():
 
 # ---- pipeline
 
+def one_of_each_class(rows):
+    best = {}
+    for row, t in zip(rows, brute_classes([brute_fingerprint(t) for _, t, _ in rows])):
+        best.setdefault(t, []).append(row)
+    return sorted(((i, t) for i, t, _ in (min(v, key=lambda r: (r[0] is None, r[0] or 0)) for v in best.values())), key=str)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    other = "an entirely different text about boats and rivers and the people who live there"
+    rows = [(3, "some words that are here twice in a row", "en"), (5, "some words that are here twice in a row", "en"), (5, other, "en")]
+    rows += [(None, "no id at all", "de"), (None, "no id at all", "fr"), (None, "no id, another text that nobody else has written so far", "de"), (3, "some words that are here twice in a row", "de")]
+    for order in (rows, rows[::-1]):
+        df = table(spark, order)
+        got = simhash.one_of_each(df)
+        assert got.columns == df.columns
+        assert rows_of(got, "doc_id", "text") == one_of_each_class(rows)
+    assert sorted(r["lang"] for r in got.collect()) == ["de", "de", "de", "en"]
+    only = [(k, f"{w} boats and rivers", "en") for k, w in enumerate(["red", "blue", "grey"])]
+    assert rows_of(simhash.one_of_each(table(spark, only)), "doc_id", "text") == one_of_each_class(only)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
@@ -677,12 +720,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert rows_of(lines, "doc_id", "text", "n_chars") == sorted(((i, None if t is None else want[(i, t)], None if t is None else len(want[(i, t)])) for i, t, _ in rows), key=str)
     near = cp.near_duplicate_stage(spark, now, str(tmp_path))
     assert near.columns == docs.columns
-    prints = [brute_fingerprint(t) for _, t, _ in rows]
-    best = {}
-    for (i, _, _), t in zip(rows, brute_classes(prints)):
-        if i is not None:
-            best[t] = min(i, best.get(t, i))
-    assert sorted(str(r["doc_id"]) for r in near.collect()) == sorted([*map(str, best.values()), "None"])
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str) == one_of_each_class(rows)
     for name, stage in cp.STAGES:
         assert stage(spark, now.where("false"), str(tmp_path)).count() == 0, name
     out = cp.run(spark, str(tmp_path))
