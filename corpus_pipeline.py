@@ -2,9 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
 columns of ``documents``; what a stage returns is written as Parquet and read again as the
-next one's docs. The stages' operators state what they do with nulls, empty and very long
-texts, ties, repeated rows, empty tables and clashing extra columns; a stage passes extra
-columns of its input through.
+next one's docs. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -14,14 +12,17 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import langid, linechunks, packing, simhash, toxicity
 from sheaf.llm.queries import tokenizer
-from sheaf.runtime import materialize, quoted, table
+from sheaf.runtime import materialize, table
 
 #: A document goes at this probability of being toxic.
 TOXIC_AT = 0.3
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. Trained on all labels outside the held-out fold."""
+    """Documents predicted toxic go. Trained on all labels outside the held-out fold. A null,
+    empty or blank text has no toxic word and stays; repeated rows and null ids are judged by
+    their texts like others; without labels of both kinds nothing goes unless the labels'
+    own rate reaches the threshold; an empty table stays empty; other columns come back."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     model = toxicity.train(rows, labels.where(langid.fold(F.col("doc_id"), 4) != 2))
@@ -29,44 +30,36 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that was learned go: null texts and texts without a letter."""
+    """Documents in no language that was learned go: null, empty and blank texts and all
+    others without a letter. Where no row has a language to learn, texts with a letter stay.
+    Repeated rows and null ids stay or go by their texts; an empty table stays empty; other
+    columns come back, ``lang`` as it was."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     ranked = langid.train(rows.where(langid.fold(F.col("doc_id"), 5) != 0))
     return langid.only_known(docs, ranked, "text")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that occur earlier in the corpus are taken out; no row goes."""
+    """Chunks of lines that occur earlier in the corpus are taken out; no row goes. A null text
+    stays null, a document that loses all lines becomes empty, rows equal in id and text
+    change alike, a null id comes last; ``n_chars`` follows the text, other columns stay."""
     out = linechunks.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays. An id stands for
-    one document, so of rows that repeat it one stays; rows without an id all stay."""
-    found = simhash.near_duplicates(docs)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(gone.select(F.col("doc_id").alias("__sheaf_gone")), F.col("doc_id") == F.col("__sheaf_gone"), "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if again else _one_of_each(kept)
-
-
-def _one_of_each(docs: DataFrame) -> DataFrame:
-    """One row for each id, the least text's; rows without an id all stay."""
-    names = docs.columns
-    rank = F.row_number().over(_by_id())
-    ranked = docs.where("doc_id is not null").withColumn("__sheaf_rank", rank).where("__sheaf_rank = 1")
-    return ranked.select(*[quoted(n) for n in names]).unionByName(docs.where("doc_id is null"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    """Of each group of near duplicates the row of smallest id stays; of rows that share this
+    id, the one of smallest text hash, and of equal texts the first by its columns. Rows are
+    told apart by id and text, so an id that repeats with another text is a document of its
+    own. Null and blank texts are near duplicates of each other; a row without an id stays
+    where its group has no other; an empty table stays empty; other columns come back."""
+    return simhash.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 ids, as the packing operator returns them."""
+    """Pieces of sequences of 1024 ids, as the packing operator returns them. A null or empty
+    text is its end id; null ids and repeated rows are packed like others; an empty table
+    gives no pieces."""
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
