@@ -24,7 +24,7 @@ symbols begin at a whole byte of every plane.
 
 Defined cases: a null text is an empty one (its only id is the end id); a null document id
 sorts first and comes back as null; rows that repeat an id are separate documents, in the
-order of a hash of their texts; an empty table gives no shards. A document never spans two
+order in which the table is read; an empty table gives no shards. A document never spans two
 shards, so a shard holds at least one document, however long. Other columns are ignored.
 """
 
@@ -49,22 +49,22 @@ STEP = 64
 _HEADER = 9
 
 
-def _overlapping(left: np.ndarray, right: np.ndarray, look: np.ndarray) -> np.ndarray:
+def _overlapping(left: np.ndarray, right: np.ndarray, look: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Where every other place of a run of one symbol is, whose pair overlaps the one before."""
     twin = np.flatnonzero(left == right)
-    if not len(twin):
-        return twin
-    at = look[twin]
-    opens = np.concatenate(([True], at[1:] != at[:-1] + 1))
-    start = at[np.flatnonzero(opens)][np.cumsum(opens) - 1]
-    return twin[(at - start) % 2 == 1]
+    if len(twin) < 2:
+        return twin[:0]
+    index = np.arange(len(twin))
+    opens = np.concatenate(([True], after[twin[:-1]] != look[twin[1:]]))
+    return twin[(index - np.maximum.accumulate(np.where(opens, index, 0))) % 2 == 1]
 
 
-def _by_pair(left: np.ndarray, right: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs as left << 32 | right in ascending order, and the place of each."""
+def _by_pair(left: np.ndarray, right: np.ndarray, place: np.ndarray, leave: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as left << 32 | right in ascending order, and the place of each, but those at ``leave``."""
     bits = size.bit_length()
     symbol = (64 - bits) // 2
     if max(int(left.max()), int(right.max())) >> symbol:
+        left, right, place = (np.delete(x, leave) for x in (left, right, place))
         keys = left.astype(np.uint64) << np.uint64(32) | right
         order = np.argsort(keys, kind="stable")
         return keys[order], place[order]
@@ -73,65 +73,83 @@ def _by_pair(left: np.ndarray, right: np.ndarray, place: np.ndarray, size: int)
     keys |= right
     keys <<= np.uint64(bits)
     keys |= place.astype(np.uint64)
+    keys[leave] = np.iinfo(np.uint64).max
     keys.sort()
+    keys = keys[: len(keys) - len(leave)]
     found = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
     keys >>= np.uint64(bits)
     return (keys >> np.uint64(symbol)) << np.uint64(32) | keys & np.uint64((1 << symbol) - 1), found
 
 
 def compress(ids: np.ndarray, first: int, least: int = 8):
-    """(symbols, rules as an n x 2 array, expansion length of each rule)."""
+    """(symbols, rules as an n x 2 array, expansion length of each rule).
+
+    While rounds replace much, the sequence is closed up after each; then places are linked
+    to their neighbours instead, so that a round costs what it looks at."""
     if least < 2:
         raise ValueError("a rule needs two occurrences")
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(0, dtype=np.uint32)
-    made = 0
+    made, linked = 0, False
+    free = np.iinfo(np.int32).max
+    rank = np.full(len(seq) + 2, free, dtype=np.int32)  # of the pair that starts here; both ends have none
     look = np.arange(max(0, len(seq) - 1))  # places whose pairs may be frequent
     while len(look):
         every = len(look) == len(seq) - 1
-        left, right = (seq[:-1], seq[1:]) if every else (seq[look], seq[look + 1])
-        odd = _overlapping(left, right, look)
-        place, later = look, look[odd]
-        if len(odd):
-            place, left, right = (np.delete(x, odd) for x in (look, left, right))
-        run, place = _by_pair(left, right, place, len(seq))
+        after = nxt[look] if linked else look + 1
+        left, right = (seq[:-1], seq[1:]) if every and not linked else (seq[look], seq[after])
+        odd = _overlapping(left, right, look, after)
+        run, place = _by_pair(left, right, look, odd, len(seq))
         opens = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         counts = np.diff(np.append(opens, len(run)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
         often = often[np.argsort(-counts[often], kind="stable")]
-        pairs, none = run[opens[often]], len(often)
-        n = counts[often]
+        pairs, n = run[opens[often]], counts[often]
         spread = np.repeat(opens[often] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        hit = place[spread]
+        rank[hit] = np.repeat(np.arange(len(often), dtype=np.int32), n)
+        hit = np.sort(hit) if linked else np.flatnonzero(rank[: len(seq)] < free)
         # of pairs that overlap the more frequent one wins, then the left one
-        rank = np.full(len(seq) + 1, none, dtype=np.int32)
-        rank[place[spread]] = np.repeat(np.arange(none, dtype=np.int32), n)
-        hit = np.flatnonzero(rank < none)
-        own = rank[hit]
-        wins = (own < rank[hit - 1]) & (own <= rank[hit + 1])
+        own, before, behind = rank[hit], rank[prv[hit] if linked else hit - 1], rank[nxt[hit] if linked else hit + 1]
+        wins = (own < before) & (own <= behind)
         # what too few occurrences are left for is not replaced; the most frequent pair always is
-        uses = np.bincount(own[wins], minlength=none)
-        wins &= uses[own] >= least
-        at = hit[wins]
-        used = np.flatnonzero(uses >= least)
-        name = np.zeros(none, dtype=np.uint32)
+        uses = np.bincount(own[wins], minlength=len(often))
+        enough = uses >= least
+        wins &= enough[own]
+        rank[hit] = free
+        at, used = hit[wins], np.flatnonzero(enough)
+        name = np.zeros(len(often), dtype=np.uint32)
         name[used] = np.arange(first + made, first + made + len(used), dtype=np.uint32)
-        again = np.zeros(len(seq), dtype=bool)  # counted again: frequent pairs that lost, and what is beside new symbols
-        again[hit] = True
-        again[later] = True
-        again[at] = True
-        again[at - 1] = True
         seq[at] = name[own[wins]]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        seq, again = seq[keep], again[keep]
         two = np.stack(((pairs[used] >> np.uint64(32)).astype(np.uint32), pairs[used].astype(np.uint32)), axis=1)
         rules.append(two)
         lengths = np.concatenate((lengths, _length(two, first, lengths)))
         made += len(used)
-        look = np.flatnonzero(again[:-1])
+        # counted again: frequent pairs that lost, and what is beside new symbols
+        if not linked and 16 * len(at) < len(seq):
+            linked, size = True, len(seq)
+            nxt, prv, gone = np.arange(1, size + 1), np.arange(-1, size), np.zeros(size + 1, dtype=bool)
+            again = np.zeros(size + 1, dtype=bool)
+            rank = np.full(size + 2, free, dtype=np.int32)
+        if linked:
+            out = nxt[at]
+            nxt[at], prv[nxt[out]], gone[out] = nxt[out], at, True
+            again[hit] = again[look[odd]] = again[at] = again[prv[at]] = True
+            look = np.flatnonzero(again[:-1])
+            again[look] = again[-1] = False
+            look = look[~gone[look] & (nxt[look] < size)]
+        else:
+            again, keep = np.zeros(len(seq), dtype=bool), np.ones(len(seq), dtype=bool)
+            again[hit] = again[look[odd]] = again[at] = again[at - 1] = True
+            keep[at + 1] = False
+            seq, again = seq[keep], again[keep]
+            rank = rank[: len(seq) + 2]
+            look = np.flatnonzero(again[:-1])
+    if linked:
+        seq = seq[~gone[:-1]]
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths
 
 
@@ -260,8 +278,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "d
 
     Documents are dealt by ranges of their id, so the files' order is the ids' order and
     each task compresses its own range; many rows without an id, or of one id, are dealt by
-    a hash of their texts and by their place in the table too. A shard is closed at
-    ``shard_ids`` ids.
+    their place in the table. A shard is closed at ``shard_ids`` ids.
     """
     ship(docs.sparkSession)
 
@@ -300,8 +317,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, *, id_col: str = "d
             yield close()
 
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("k"), F.col(quoted(text_col)).alias("t"))
-    rows = rows.select("k", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("place"), "t")
-    rows.repartitionByRange("k", "h", "place").sortWithinPartitions("k", "h", "place").select("k", "t").mapInArrow(pack, SHARDS).write.parquet(path)
+    rows = rows.select("k", F.monotonically_increasing_id().alias("place"), "t")
+    rows.repartitionByRange("k", "place").sortWithinPartitions("k", "place").select("k", "t").mapInArrow(pack, SHARDS).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
