@@ -613,6 +613,52 @@ def test_toxicity(spark, docs, none):
     assert all(r["predicted"] == 0 for r in unlabelled)
 
 
+def test_margin_equals_a_plain_forward_pass():
+    rng = random.Random(25)
+    clean = [f"{a}{b}nd" for a in "bdfgklm" for b in "aeiou"]
+    sample = toxicity.Sample()
+    for k in range(120):
+        words = [rng.choice(clean) for _ in range(30)]
+        if k % 3 == 0:
+            words[rng.randrange(30)] = rng.choice(["vermin", "Scumbag!"])
+        sample.add(" ".join(words), int(k % 3 == 0))
+    model = toxicity.fit(sample, 1 / 3)
+    used, e, w, b = model.layers
+    row = dict(zip(used.tolist(), e.astype(float)))
+
+    def vector(word):
+        bucket, _ = toxicity.word_buckets([toxicity.clean(word)])
+        return np.mean([row.get(x, np.zeros(e.shape[1])) for x in bucket.tolist()], axis=0)
+
+    def forward(text):
+        words, best = text.split(), []
+        starts = [0] if len(words) <= 8 else sorted({*range(0, len(words) - 7, 4), len(words) - 8})
+        for a in starts:
+            mean = np.zeros(e.shape[1])
+            for k in range(a, min(a + 8, len(words))):
+                if toxicity.clean(words[k]) not in [toxicity.clean(x) for x in words[max(0, k - 7) : k]]:
+                    mean += vector(words[k]) / 8
+            x = w.astype(float) @ mean + b
+            best.append(x[1] - x[0])
+        return max(best, default=float(b[1] - b[0]))
+
+    texts = ["", "vermin", "verminn scumbags", *(" ".join(rng.choice([*clean, "vermin", "scumbag,", "other"]) for _ in range(n)) for n in (3, 8, 9, 12, 40, 41, 100))]
+    scorer = toxicity.Scorer(model, cache_words=20)
+    for _ in range(2):
+        assert np.allclose(scorer.margins(texts), [forward(t) for t in texts], atol=1e-4)
+    scorer.margins(["x" * 5000 + " " + "y" * 70])
+    assert max(map(len, [*scorer.number, *scorer.cleaned]), default=0) <= toxicity.CACHED
+
+
+def test_a_repeated_id_does_not_multiply_the_sample(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, share: held.append(sample))
+    rows = [(1, f"text {k}", None) for k in range(500)] + [(2, "same", None)] * 300 + [(3, "x" * 40_000, None), (None, "t", None)]
+    marks = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    toxicity.train(table(spark, rows).select("doc_id", "text"), marks)
+    assert sorted(held[0].labels) == [0, 0, 0, 0, 1, 1]
+
+
 # ---- op10
 
 def test_pieces_equal_the_library(spark, docs, none):
