@@ -10,11 +10,15 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def spaced(text: Column) -> Column:
+    """Lower case, digits deleted, punctuation to spaces: what tokens are cut from. Python's
+    ``str.split()`` cuts it at the same white space as :func:`tokens`."""
+    return F.translate(F.regexp_replace(F.lower(text), "[0-9]+", ""), PUNCTUATION, " " * len(PUNCTUATION))
+
+
 def tokens(text: Column) -> Column:
     """Lower case, digits deleted, punctuation to spaces, split at Unicode white space."""
-    bare = F.regexp_replace(F.lower(text), "[0-9]+", "")
-    spaced = F.translate(bare, PUNCTUATION, " " * len(PUNCTUATION))
-    return F.filter(F.split(spaced, _SPACE), lambda x: x != "")
+    return F.filter(F.split(spaced(text), _SPACE), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:

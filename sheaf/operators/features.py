@@ -16,7 +16,8 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 @dataclass
 class AggregationPlan:
-    """What to group by and which statistics of which columns to compute."""
+    """What to group by and which statistics of which columns to compute. ``first`` and
+    ``last`` follow ``order_by``, or else the order in which the table is read."""
 
     group_by: list[str]
     per_file: bool = True
@@ -26,6 +27,7 @@ class AggregationPlan:
     exclude_regex: str | None = None
     dropna: bool = False
     keep_empty: bool = False
+    order_by: list[str] = field(default_factory=list)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -108,13 +110,16 @@ def _skew(c: Column) -> Column:
     return F.when(n > 2, F.coalesce(F.skewness(c), F.lit(0.0)) * F.sqrt(n * (n - 1.0)) / (n - 2))
 
 
+PLACE = "__place"
+
+
 def stat(name: str, c: Column) -> Column:
     made = {
         "mean": lambda: F.avg(c), "std": lambda: F.stddev_samp(c), "var": lambda: F.var_samp(c), "median": lambda: F.median(c),
         "min": lambda: F.min(c), "max": lambda: F.max(c), "sum": lambda: F.coalesce(F.sum(c), F.lit(0.0)), "count": lambda: F.count(c),
         "nunique": lambda: F.count_distinct(c), "size": lambda: F.count(F.lit(1)), "prod": lambda: F.coalesce(F.product(c), F.lit(1.0)),
         "sem": lambda: F.stddev_samp(c) / F.sqrt(F.nullif(F.count(c).cast("double"), F.lit(0.0))), "skew": lambda: _skew(c),
-        "first": lambda: F.first(c, ignorenulls=True), "last": lambda: F.last(c, ignorenulls=True),
+        "first": lambda: F.min_by(c, F.when(c.isNotNull(), F.col(PLACE))), "last": lambda: F.max_by(c, F.when(c.isNotNull(), F.col(PLACE))),
     }
     if name not in made:
         raise ValueError(f"unknown statistic {name!r}; there are {sorted(made)}")
@@ -138,7 +143,10 @@ def aggregate_features(df: DataFrame, plan: AggregationPlan) -> DataFrame:
     values = [c for c in chosen if c not in keys]
     if not values:
         raise ValueError("no columns left after the filters")
-    rows = df.select(*[F.col(quoted(k)) for k in keys], *[numeric(F.col(quoted(c)), kinds[c]).alias(c) for c in values])
+    place = []
+    if {"first", "last"} & set(plan.stats):
+        place = [(F.struct(*[F.col(quoted(o)) for o in plan.order_by]) if plan.order_by else F.monotonically_increasing_id()).alias(PLACE)]
+    rows = df.select(*place, *[F.col(quoted(k)) for k in keys], *[numeric(F.col(quoted(c)), kinds[c]).alias(c) for c in values])
     doubtful = [c for c in values if kinds[c] == "string"]
     values = [c for c in values if kinds[c] in ("string", "boolean") or not numeric_absent(kinds[c])] if not plan.keep_empty else values
     if doubtful and not plan.keep_empty:

@@ -53,6 +53,27 @@ def fill_word_times(df: DataFrame, item: str, order: str, start: str = "start",
     return df.withColumns({start: F.coalesce(F.col(start), known_end, F.lit(0)), end: F.coalesce(F.col(end), next_start, F.col(start))})
 
 
+def merge_untimed(df: DataFrame, item: str, order: str, word: str = "word", start: str = "start", end: str = "end", *,
+                  initial: float = 0.0, final: Column | None = None) -> DataFrame:
+    """Words without a start that follow each other become one, joined by spaces, from the end
+    of the word before to the start of the word after.
+
+    The first word of an item starts at ``initial``; a run that reaches the item's end ends at
+    ``final``, and a single last word where it starts. ``order`` is that of a run's first word.
+    """
+    w = Window.partitionBy(item).orderBy(order)
+    untimed = F.col(start).isNull()
+    opens = (~untimed | ~F.coalesce(F.lag(untimed).over(w), F.lit(False))).cast("int")
+    runs = df.withColumn("__open", opens).withColumn("__run", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(word).alias("w")))), lambda x: x["w"]), " ")
+    one = runs.groupBy(item, "__run").agg(F.min(order).alias(order), said.alias(word), F.min(start).alias(start), F.min_by(end, order).alias(end), F.count("*").alias("__n"))
+    by = Window.partitionBy(item).orderBy("__run")
+    first = F.coalesce(F.col(start), F.lag(end).over(by), F.lit(initial))
+    open_end = F.when(F.col("__n") == 1, first).otherwise(final if final is not None else F.lit(None).cast("double"))
+    last = F.when(~untimed, F.col(end)).when(F.lead("__run").over(by).isNull(), open_end).otherwise(F.lead(start).over(by))
+    return one.select(item, order, word, first.alias(start), last.alias(end))
+
+
 def voiced_segments(frames: DataFrame, item: str, index: str, time: str, f0: str, *, min_dur: float = 0.0) -> DataFrame:
     """Runs of frames with a positive value, from the first frame's time to halfway towards
     the frame after the run; an open run ends half a hop after its last frame."""
@@ -123,6 +144,26 @@ def chopped_windows(df: DataFrame, start: str, end: str, window: int, shortest:
     return out.where(F.col("win_end") - F.col("win_start") >= shortest)
 
 
+def embedding_windows(df: DataFrame, n: Column, rate: int, *, intervals: DataFrame | None = None, item: str = "path", window_s: float = 30.0,
+                      hop_s: float = 15.0, least_s: float = 1.0) -> DataFrame:
+    """Sample windows of recordings, ``segment`` counting an item's from 0.
+
+    Without ``intervals`` fixed windows; with them (item, ``a``, ``b`` in samples) the loud
+    intervals cut into windows, and the whole recording where none is long enough."""
+    window, hop, least = (max(1, round(s * rate)) for s in (window_s, hop_s, least_s))
+    base = df.withColumn("__n", n.cast("long"))
+    if intervals is None:
+        cut = base.withColumns({"win_start": F.lit(0).cast("long"), "win_end": F.col("__n")}).where("__n = 0")
+        cut = cut.unionByName(fixed_windows(base, F.col("__n"), window, hop))
+    else:
+        loud = intervals.where(F.col("b") - F.col("a") >= least)
+        pieces = chopped_windows(base.join(loud, item), "a", "b", window, least).drop("a", "b")
+        whole = base.join(pieces.select(item).distinct(), item, "left_anti").withColumns({"win_start": F.lit(0).cast("long"), "win_end": F.col("__n")})
+        cut = pieces.unionByName(whole)
+    number = F.row_number().over(Window.partitionBy(item).orderBy("win_start")) - 1
+    return cut.withColumn("segment", number.cast("long")).drop("__n")
+
+
 def guess_time_unit(max_end: Column, seconds: Column, samples: Column) -> Column:
     """s, ms or samples: the first under which the latest end fits the sound."""
     return F.when(max_end <= 1.1 * seconds, "s").when(max_end <= 1.1 * seconds * 1000, "ms").when(max_end <= 1.1 * samples, "samples").otherwise("s")

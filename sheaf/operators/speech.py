@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,60 +9,98 @@ from pyspark.sql import DataFrame
 
 from sheaf.runtime import ship
 
-_END = re.compile(r"[.!?]$")
+_MARKS = frozenset(".?!")
+
+
+def sentence_spans(words: list[str]) -> list[tuple[int, int]]:
+    """For each word the first and last word of its sentence; one ends at a word whose last
+    character is a full stop, question or exclamation mark, and with the last word."""
+    spans: list[tuple[int, int]] = []
+    first = 0
+    for k, word in enumerate(words):
+        if word[-1:] in _MARKS and word or k == len(words) - 1:
+            spans += [(first, k)] * (k - first + 1)
+            first = k + 1
+    return spans
 
 
 def realign(words: list[str], speakers: list[str], longest: int = 50) -> list[str]:
-    """Where the speaker changes inside a sentence, the sentence's majority speaker takes all
-    of it, if the sentence has at most ``longest`` words and the majority half of them."""
-    out, k, n = list(speakers), 0, len(words)
-    ends = lambda i: bool(_END.search(words[i]))
-    while k < n:
-        if k < n - 1 and speakers[k] != speakers[k + 1] and not ends(k):
-            a = k
-            while a > 0 and k - a < longest and not ends(a - 1):
-                a -= 1
-            b = k
-            while b < n - 1 and b - a < longest and not ends(b):
-                b += 1
-            whole = (a == 0 or ends(a - 1)) and (b == n - 1 or ends(b)) and b - a < longest
-            span = speakers[a : b + 1]
-            best = max(dict.fromkeys(span), key=span.count)
-            if whole and span.count(best) >= len(span) // 2:
-                out[a : b + 1] = [best] * len(span)
-                k = b
+    """Where the speaker changes inside a sentence for the first time, the sentence's majority
+    speaker takes all of it, if the sentence has at most ``longest`` words and the majority at
+    least half of them, rounded down; of equals the one who speaks first."""
+    out = list(speakers)
+    spans = sentence_spans(words)
+    k = 0
+    while k < len(words) - 1:
+        first, last = spans[k]
+        changes = k < last and out[k] != out[k + 1]
+        if changes and last - first < longest and all(s == out[k] for s in out[first:k]):
+            said = out[first : last + 1]
+            most = max(dict.fromkeys(said), key=said.count)
+            if said.count(most) >= len(said) // 2:
+                out[first : last + 1] = [most] * len(said)
+                k = last
         k += 1
     return out
 
 
-def utterances(words: list[str], speakers: list[str], starts: list[float], ends: list[float]) -> list[tuple[str, float, float, str]]:
-    """(speaker, start, end, text): a new one on a change of speaker or after a sentence."""
-    out: list[tuple[str, float, float, str]] = []
-    for w, s, a, b in zip(words, speakers, starts, ends):
-        if out and out[-1][0] == s and not _END.search(out[-1][3].rstrip()):
-            last = out[-1]
-            out[-1] = (s, last[1], b, last[3] + w + " ")
+def ends_sentence(word: str, following: str) -> bool:
+    """Whether a sentence ends between two words: after a question or exclamation mark, or a
+    full stop that is neither an ellipsis nor an initial before a name."""
+    if word[-1:] in ("?", "!"):
+        return True
+    if not word.endswith(".") or word.endswith(".."):
+        return False
+    return not (len(word) == 2 and word[0].isalpha() and following[:1].isupper())
+
+
+Utterance = tuple[str, float, float, str]
+
+
+def utterances(words: list[str], speakers: list[str], starts: list[float], ends: list[float], first_turn: tuple[str, float, float] | None = None) -> list[Utterance]:
+    """(speaker, start, end, text): a new one on a change of speaker or after a sentence; every
+    word is followed by a space.
+
+    ``first_turn``, a speaker with start and end, opens the first utterance: it keeps the
+    turn's start, and stays empty if another speaker has the first word."""
+    out: list[Utterance] = [(*first_turn, "")] if first_turn else []
+    before = ""
+    for k, (word, who, a, b) in enumerate(zip(words, speakers, starts, ends)):
+        if out and out[-1][0] == who and not (before and ends_sentence(before, word)):
+            out[-1] = (who, out[-1][1], b, out[-1][3] + word + " ")
         else:
-            out.append((s, a, b, w + " "))
+            out.append((who, a, b, word + " "))
+        before = word
     return out
 
 
-def speaker_utterances(words: DataFrame, item: str, order: str) -> DataFrame:
-    """``words``: item, order, word, speaker, start, end. One row per utterance of an item; an
-    item is one recording, whose words fit a task."""
+def speaker_utterances(words: DataFrame, item: str, order: str, turns: DataFrame | None = None) -> DataFrame:
+    """``words``: item, order, word, speaker, start, end; ``turns``: item, speaker, start, end.
+    One row per utterance of an item; an item is one recording, whose words fit a task. With
+    turns, each item's earliest opens its first utterance."""
     ship(words.sparkSession)
     kind = dict(words.dtypes)[item]
+    schema = f"{item} {kind}, utterance bigint, speaker string, start double, end double, text string"
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(order)
+    def found(f: pd.DataFrame, first_turn: tuple | None) -> pd.DataFrame:
+        f = f.sort_values(order)
         given = list(f["word"])
-        found = utterances(given, realign(given, list(f["speaker"])), list(f["start"]), list(f["end"]))
-        out = pd.DataFrame(found, columns=["speaker", "start", "end", "text"])
+        rows = utterances(given, realign(given, list(f["speaker"])), list(f["start"]), list(f["end"]), first_turn)
+        out = pd.DataFrame(rows, columns=["speaker", "start", "end", "text"])
         out.insert(0, "utterance", range(1, len(out) + 1))
         out.insert(0, item, f[item].iloc[0])
         return out
 
-    return words.groupBy(item).applyInPandas(work, f"{item} {kind}, utterance bigint, speaker string, start double, end double, text string")
+    if turns is None:
+        return words.groupBy(item).applyInPandas(lambda frame: found(frame, None), schema)
+
+    def both(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        first = own.sort_values(["start", "end"]).iloc[0] if len(own) else None
+        return found(frame, None if first is None else (first["speaker"], float(first["start"]), float(first["end"])))
+
+    return words.groupBy(item).cogroup(turns.groupBy(item)).applyInPandas(both, schema)
 
 
 #: A signal backend maps batches of (path, content) to batches of its own schema.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
 from sheaf.operators import dictionary, features, gather, intervals, lexical, readability, transcripts, vectors
-from sheaf.runtime import table
+from sheaf.runtime import spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,13 +57,13 @@ def lex_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_COUNTED} SELECT id AS doc_id, {_METRICS} FROM c")
 def lex_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _metrics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(f"""WITH src AS (SELECT doc_id AS id, text FROM documents), tok AS (SELECT id, {_TOKENS} AS t FROM src),
 words AS (SELECT id, w, count(*) AS freq FROM (SELECT id, unnest(t) AS w FROM tok) GROUP BY id, w) SELECT id, freq, count(*) AS types FROM words GROUP BY id, freq""")
 def lex_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.frequency_spectrum(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lexical.frequency_spectrum(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(f"""WITH tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
@@ -73,14 +73,14 @@ k AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(t) AS w FROM t
 h AS (SELECT k.doc_id, sum((1 - list_product(list_transform(range(0, 42), lambda i: greatest(n - k - i, 0) / (n - i)))) / 42) AS h FROM k JOIN win USING (doc_id) WHERE n >= 42 GROUP BY k.doc_id)
 SELECT doc_id, round(s, 9) AS msttr_100, round(CASE WHEN n >= 100 THEN m END, 9) AS mattr_100, round(h, 9) AS hdd_42 FROM win LEFT JOIN h USING (doc_id)""")
 def lex_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lexical.lexical_richness(table(spark, sf_dir, "documents").select("doc_id", "text"), vocd=False)
-    return _rounded(out.select("doc_id", "msttr_100", "mattr_100", "hdd_42"), 9)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _rounded(lexical.lexical_richness(docs, metrics=["msttr", "mattr", "hdd"]), 9)
 
 
 @query()
 def lex_mtld_vocd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sixteen metrics; the sampled one has no SQL form."""
-    return _rounded(lexical.lexical_richness(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return _rounded(lexical.lexical_richness(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 @query("SELECT concat_ws(' | ', nullif(source, ''), nullif(CAST(doc_id AS VARCHAR), '')) AS text_id, source, doc_id, concat_ws(' ', nullif(lang, ''), nullif(text, '')) AS text FROM documents WHERE concat_ws(' ', nullif(lang, ''), nullif(text, '')) <> ''")
@@ -235,7 +235,7 @@ def ts_format_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, k AS sentence, s AS text FROM (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS k FROM
 (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("k", "text"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("k", "text"))
     return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("sentence"), "text")
 
 
@@ -251,7 +251,7 @@ c AS (SELECT doc_id, len(w) AS wc, text, len(list_filter(w, lambda x: length(x)
 SELECT doc_id, wc AS "WC", round(CASE WHEN wc > 0 THEN 100.0 * big / wc ELSE 0 END, 4) AS "BigWords", round(CASE WHEN wc > 0 THEN 100.0 * (length(text) - length(replace(text, ',', ''))) / wc ELSE 0 END, 4) AS "Comma",
  round(CASE WHEN wc > 0 THEN 100.0 * (f + t + p) / wc ELSE 0 END, 4) AS "demo__Dic", round(CASE WHEN wc > 0 THEN 100.0 * f / wc ELSE 0 END, 4) AS "demo__function", round(CASE WHEN wc > 0 THEN 100.0 * t / wc ELSE 0 END, 4) AS "demo__tion", round(CASE WHEN wc > 0 THEN 100.0 * p / wc ELSE 0 END, 4) AS "demo__pair" FROM c""")
 def dict_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dictionary.code(table(spark, sf_dir, "documents").select("doc_id", "text"), [_LEX])
+    out = dictionary.code(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), [_LEX])
     return out.select("doc_id", "WC", "BigWords", "Comma", "demo__Dic", "demo__function", "demo__tion", "demo__pair")
 
 
@@ -263,13 +263,13 @@ SELECT doc_id, wn AS lexicon_count, sn AS sentence_count, yn AS syllable_count,
  round(CASE WHEN wn > 0 THEN 1.0430 * sqrt(30.0 * pn / sn) + 3.1291 END, 9) AS smog_index, round(CASE WHEN wn > 0 THEN 0.0588 * (100.0 * ln / wn) - 0.296 * (100.0 * sn / wn) - 15.8 END, 9) AS coleman_liau_index, round(CASE WHEN wn > 0 THEN 4.71 * cn / wn + 0.5 * wn / sn - 21.43 END, 9) AS automated_readability_index,
  round(CASE WHEN wn > 0 THEN 0.4 * (1.0 * wn / sn + 100.0 * pn / wn) END, 9) AS gunning_fog FROM c""")
 def read_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = readability.readability(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = readability.readability(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return _rounded(out.select("doc_id", "lexicon_count", "sentence_count", "syllable_count", "char_count", "flesch_reading_ease", "flesch_kincaid_grade", "smog_index", "coleman_liau_index", "automated_readability_index", "gunning_fog"), 9)
 
 
 @query()
 def read_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readability.readability(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return readability.readability(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 _POOL = """u AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM u GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1)"""

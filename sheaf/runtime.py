@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -89,6 +90,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, least_rows: int = 64) -> DataFrame:
+    """A table just read, over all cores even where its files are few large row groups.
+
+    A row group is read by one task, however many splits its file has, so heavy work on each
+    row would use few cores. The rows of each task are counted, which reads footers only; the
+    rows are dealt anew if fewer tasks than cores have any and each core would get
+    ``least_rows``. Call it on a plain scan: anything above one would run for the count.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    per_task = df.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    tasks, rows = per_task.agg(F.count("*"), F.sum("count")).first()
+    return df.repartition(3 * cores) if tasks < cores and (rows or 0) >= cores * least_rows else df
+
+
 def quoted(name: str) -> str:
     """A column name that Spark takes literally, dots and ticks included."""
     return "`" + name.replace("`", "``") + "`"

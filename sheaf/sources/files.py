@@ -5,8 +5,11 @@ from __future__ import annotations
 import csv
 import fnmatch
 import os
+import shutil
+import subprocess
 from pathlib import Path
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +18,19 @@ from sheaf.runtime import quoted
 
 # File extensions by kind of media.
 KINDS = {
-    "audio": [".wav", ".mp3", ".flac", ".m4a", ".aac", ".ogg", ".opus", ".wma", ".aif", ".aiff"],
-    "video": [".mp4", ".mkv", ".mov", ".avi", ".webm", ".m4v", ".mpg", ".mpeg", ".wmv", ".flv"],
-    "image": [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp"],
+    "audio": [".wav", ".flac", ".alac", ".aiff", ".aif", ".aifc", ".mp3", ".m4a", ".aac", ".ogg", ".oga", ".opus", ".wma", ".mka"],
+    "video": [".mp4", ".m4v", ".mov", ".avi", ".mkv", ".webm", ".wmv", ".flv", ".mpeg", ".mpg", ".m2ts", ".ts", ".3gp", ".3g2", ".ogv"],
+    "image": [".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif", ".webp", ".gif", ".heic", ".heif"],
     "subtitle": [".srt", ".vtt", ".ass", ".ssa", ".sub"],
-    "archive": [".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar"],
+    "archive": [".zip", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".7z", ".rar"],
 }
-#: What a feature table's reader takes for a missing value.
-MISSING = ["", "NA", "N/A", "n/a", "NULL", "null", "None", "none", "NaN", "nan", "<NA>", "#N/A"]
+# What a preset's inputs are found by; fewer than the kinds above.
+INPUTS = {
+    "video": [".mp4", ".mov", ".mkv", ".avi", ".m4v", ".wmv", ".flv", ".webm", ".mpg", ".mpeg", ".3gp"],
+    "audio": [".wav", ".mp3", ".m4a", ".aac", ".flac", ".ogg", ".opus", ".wma", ".aiff", ".aif", ".aifc"],
+}
+# What the reader of feature tables takes for a missing value.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def sniff_delimiter(sample: str, default: str = ",") -> str:
@@ -70,7 +78,7 @@ def gather_csvs(spark: SparkSession, root: str, *, pattern: str = "*.csv", recur
             frame = read_csv(spark, path, delimiter=delimiter)
             frame = frame.select(*[F.when(~F.col(quoted(c)).isin(MISSING), F.col(quoted(c))).alias(c) for c in frame.columns])
             frames.append(add_source(frame, Path(path).stem, path if add_source_path else None))
-        except Exception:
+        except (AnalysisException, PySparkException, OSError, UnicodeError):
             bad.append(path)
     if not frames:
         raise FileNotFoundError(f"no readable {pattern} below {root}")
@@ -98,8 +106,9 @@ def _regex(text: str) -> str:
 
 
 def find_files(root: str, *, file_type: str = "video", extensions: list[str] | None = None, recursive: bool = True, include_hidden: bool = False,
-               include_globs: list[str] | None = None, exclude_globs: list[str] | None = None, absolute: bool = True, follow_symlinks: bool = False) -> list[str]:
-    """Media files by kind or extension, hidden ones pruned, sorted without regard to case."""
+               include_globs: list[str] | None = None, exclude_globs: list[str] | None = None, absolute: bool = True, follow_symlinks: bool = False, verify: bool = False) -> list[str]:
+    """Media files by kind or extension, hidden ones pruned, sorted without regard to case.
+    With ``verify`` audio and video files without such a stream go, if a prober is installed."""
     if extensions is None:
         if file_type == "any":
             extensions = [e for k, v in KINDS.items() if k != "archive" for e in v]
@@ -121,13 +130,66 @@ def find_files(root: str, *, file_type: str = "video", extensions: list[str] | N
             if include_globs and not match(include_globs) or exclude_globs and match(exclude_globs):
                 continue
             found.append(os.path.abspath(os.path.join(root, rel)) if absolute else rel)
+    if verify and file_type in ("audio", "video"):
+        found = [f for f in found if has_stream(f if absolute else os.path.join(root, f), file_type) is not False]
     return sorted(found, key=str.lower)
 
 
+def discover_inputs(root: str, kind: str = "any") -> list[str]:
+    """A preset's inputs below a folder: all files of a kind, or any files, sorted."""
+    if kind != "any" and kind not in INPUTS:
+        raise ValueError(f"kind is any or one of {sorted(INPUTS)}")
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+    found = (str(p.resolve()) for p in Path(root).rglob("*") if p.is_file())
+    return sorted(f for f in found if kind == "any" or os.path.splitext(f)[1].lower() in INPUTS[kind])
+
+
+def has_stream(path: str, kind: str) -> bool | None:
+    """Whether a media file has a stream of this kind; None where there is no prober."""
+    prober = shutil.which("ffprobe")
+    if prober is None:
+        return None
+    asked = [prober, "-v", "error", "-select_streams", kind[0], "-show_entries", "stream=index", "-of", "csv=p=0", path]
+    done = subprocess.run(asked, capture_output=True, text=True)
+    return done.returncode == 0 and bool(done.stdout.strip())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def write_csv(df: DataFrame, path: str, *, overwrite: bool = False, single_file: bool = False, order_by: list[str] | None = None) -> str:
-    """A folder of CSV parts. An existing result is returned unread unless ``overwrite``."""
-    if not overwrite and os.path.exists(os.path.join(path, "_SUCCESS")):
+    """A folder of CSV parts, in any store that Spark writes. An existing result is returned
+    unread unless ``overwrite``. ``single_file`` moves the finished rows, not their
+    computation, to one task."""
+    if not overwrite and _exists(df.sparkSession, f"{path}/_SUCCESS"):
         return path
     out = df.orderBy(*[F.col(quoted(c)).asc_nulls_last() for c in order_by]) if order_by else df
-    (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    if single_file:
+        out = out.repartition(1).sortWithinPartitions(*[F.col(quoted(c)).asc_nulls_last() for c in order_by]) if order_by else out.repartition(1)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def write_csv_file(df: DataFrame, path: str, *, overwrite: bool = False, bom: bool = True) -> str:
+    """One CSV file with a byte order mark, for programs that want a file: the parts that
+    Spark wrote, joined by the driver one after another. For results, not for corpora."""
+    if not overwrite and os.path.exists(path):
+        return path
+    folder = f"{path}.parts"
+    write_csv(df, folder, overwrite=True)
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "wb") as out:
+        out.write(b"\xef\xbb\xbf" if bom else b"")
+        for k, part in enumerate(sorted(Path(folder).glob("part-*.csv"))):
+            with part.open("rb") as f:
+                head = f.readline()
+                if k == 0:
+                    out.write(head)
+                shutil.copyfileobj(f, out)
+        if not list(Path(folder).glob("part-*.csv")):
+            out.write((",".join(df.columns) + "\n").encode())
+    shutil.rmtree(folder)
     return path

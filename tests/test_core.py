@@ -39,20 +39,46 @@ def test_tokens_and_guards(spark):
     assert out[4]["ttr"] == 1 and out[4]["herdan_c"] is None and out[4]["mtld_0_72"] == 1.0
 
 
+def plain_factors(t, threshold):
+    """Factors by cutting the text at the shortest prefix whose ratio is low enough."""
+    found = 0.0
+    while t:
+        cut = next((n for n in range(1, len(t) + 1) if len(set(t[:n])) / n <= threshold), None)
+        if cut is None:
+            found += (1 - len(set(t)) / len(t)) / (1 - threshold)
+            break
+        found, t = found + 1, t[cut:]
+    return found or 1.0
+
+
+def test_only_the_metrics_asked_for(spark):
+    df = spark.createDataFrame([(1, "a b a c", "x")], "id int, text string, n string")
+    out = lexical.lexical_richness(df, metrics=["mattr", "ttr"], mattr_window=2)
+    assert out.columns == ["id", "n", "ttr", "mattr_2"] and tuple(out.first()) == (1, "x", 0.75, 1.0)
+    with pytest.raises(ValueError):
+        lexical.lexical_richness(df, metrics=["nope"])
+
+
 def test_sequence_metrics_against_definitions():
     rng = random.Random(5)
     for _ in range(30):
         t = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))]
         w = rng.randint(1, 20)
         want = None if len(t) < w else np.mean([len(set(t[k : k + w])) / w for k in range(len(t) - w + 1)])
-        got = lexical.window_means(t, w)
+        ids, kinds = lexical.numbered(t)
+        got = lexical.window_means(ids, kinds, w)
         assert got == want or got == pytest.approx(want)
         n, draws = len(t), 5
         counts = [t.count(x) for x in set(t)]
         exact = None if draws > n else sum(1 - math.comb(n - k, draws) / math.comb(n, draws) for k in counts) / draws
         got = lexical.hypergeometric_diversity(counts, n, draws)
         assert got == exact or got == pytest.approx(exact)
-    assert lexical.segment_means(list("ab" * 5), 10) is None and lexical.window_means(list("ab" * 5), 10) == 0.2
+    assert lexical.segment_means(list("ab" * 5), 10) is None and lexical.window_means([0, 1] * 5, 2, 10) == 0.2
+    for _ in range(200):
+        t = [rng.choice("abcdefghijkl"[: rng.randint(1, 12)]) for _ in range(rng.randint(1, 80))]
+        got = lexical.diversity_length(*lexical.numbered(t), 0.72)
+        assert got == pytest.approx((len(t) / plain_factors(t, 0.72) + len(t) / plain_factors(t[::-1], 0.72)) / 2)
+    assert lexical.diversity_length([], 0, 0.72) is None and lexical.diversity_length([0, 1, 2], 3, 0.72) == 3
     assert lexical.vocabulary_d(["a"] * 50, 50, 10, 1, 42) is None
     words = [f"w{k % 40}" for k in range(80)]
     assert lexical.vocabulary_d(words, 50, 20, 2, 42) == lexical.vocabulary_d(words, 50, 20, 2, 42)
