@@ -13,25 +13,38 @@ from pyspark.sql import DataFrame
 from sheaf.runtime import ship
 
 
-def decode(data: bytes) -> tuple[int, np.ndarray]:
-    """(rate, mono samples in -1..1) of PCM WAV bytes."""
+def decode_channels(data: bytes) -> tuple[int, np.ndarray]:
+    """(rate, samples in -1..1 by channel) of PCM WAV bytes of 8 to 32 bits."""
     with wave.open(io.BytesIO(data)) as w:
         width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = w.readframes(w.getnframes())
+        raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+    raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    else:
-        x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    return rate, x.reshape(-1, channels).mean(axis=1)
+        x = (raw.astype(np.float32) - 128) / 128
+    else:  # shorter samples are the upper bytes of 32-bit ones
+        full = np.zeros((len(raw) // width, 4), np.uint8)
+        full[:, 4 - width :] = raw.reshape(-1, width)
+        x = full.view("<i4")[:, 0].astype(np.float64).astype(np.float32) / np.float32(1 << 31)
+    return rate, x.reshape(-1, channels)
+
+
+def decode(data: bytes) -> tuple[int, np.ndarray]:
+    """(rate, mono samples in -1..1) of PCM WAV bytes."""
+    rate, x = decode_channels(data)
+    return rate, x.mean(axis=1)
 
 
-def encode(rate: int, samples: np.ndarray) -> bytes:
+def encode(rate: int, samples: np.ndarray, bits: int = 16) -> bytes:
+    """PCM WAV bytes of 16, 24 or 32 bits; samples are mono or have a column for each channel."""
+    if bits not in (16, 24, 32):
+        raise ValueError("bits are 16, 24 or 32")
     out = io.BytesIO()
+    x = np.round(np.clip(samples, -1, 1).astype(np.float64) * ((1 << (bits - 1)) - 1)).astype("<i4").reshape(len(samples), -1)
     with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
+        w.setnchannels(x.shape[1])
+        w.setsampwidth(bits // 8)
         w.setframerate(rate)
-        w.writeframes((np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes())
+        w.writeframes(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes())
     return out.getvalue()
 
 

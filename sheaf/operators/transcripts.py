@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.operators import sound
+from sheaf.operators import sound, voice
 from sheaf.runtime import quoted, ship
 
 # Other names under which a transcript may have its columns.
@@ -73,7 +73,7 @@ def _pairs(files: DataFrame, turns: DataFrame, work, schema: str) -> DataFrame:
     """``work(path, rate, samples, turns in order)`` for each recording that has turns; one
     recording and its turns are one group."""
     ship(files.sparkSession)
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
 
     def run(key: tuple, sounds: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         if not len(sounds) or not len(spans) or sounds["content"].iloc[0] is None:
@@ -129,3 +129,28 @@ def turn_acoustics(files: DataFrame, turns: DataFrame, *, least_ms: int = 20) ->
 
     schema = "path string, speaker string, start_ms bigint, end_ms bigint, loudness_db double, " + ", ".join(f"{n} double" for n in names)
     return _pairs(files, turns.select("path", "start_ms", "end_ms", "speaker"), work, schema)
+
+
+def turn_voices(files: DataFrame, turns: DataFrame, *, least_ms: int = 20, voiced_ms: int | None = 100, top_db: float = 30.0, frame: int = 2048, hop: int = 512,
+                preprocess: bool = True, target_rate: int = 44100, target_dbfs: float = -20.0) -> DataFrame:
+    """Every voice measure of each turn's slice of its recording; the turns' other columns
+    come back. ``turns``: path, start_ms, end_ms and others. Turns whose slice is under
+    ``least_ms`` go."""
+    others = [c for c in turns.columns if c not in ("path", "start_ms", "end_ms")]
+    kinds = dict(turns.dtypes)
+
+    def work(path: str, rate: int, x: np.ndarray, order: pd.DataFrame) -> list[tuple]:
+        if preprocess:
+            x, rate = sound.leveled(voice.resample(x, rate, target_rate), target_dbfs), target_rate
+        out = []
+        for row in order.to_dict("records"):
+            a, b = int(row["start_ms"]), int(row["end_ms"])
+            part = x[max(0, round(a * rate / 1000)) : max(0, round(b * rate / 1000))]
+            if len(part) * 1000 < least_ms * rate:
+                continue
+            found = voice.summary(part, rate, voiced_s=None if voiced_ms is None else voiced_ms / 1000, top_db=top_db, frame=frame, hop=hop)
+            out.append((path, a, b, *(row[c] for c in others), *(found[n] for n in voice.SUMMARY)))
+        return out
+
+    schema = "path string, start_ms bigint, end_ms bigint, " + "".join(f"`{c}` {kinds[c]}, " for c in others) + ", ".join(f"{n} double" for n in voice.SUMMARY)
+    return _pairs(files, turns, work, schema)

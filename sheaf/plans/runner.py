@@ -20,6 +20,11 @@ def register(name: str, call: Callable) -> None:
 
 
 def resolve(name: str) -> Callable:
+    """The call of a name; ``theme:call`` and ``theme.call`` mean the same."""
+    name = name.replace(":", ".")
+    if name not in _CALLS:
+        import sheaf.plans.calls  # noqa: F401  registers the calls of this package
+
     if name not in _CALLS:
         raise KeyError(f"{name!r} is not registered; there are {sorted(_CALLS)}")
     return _CALLS[name]
@@ -166,11 +171,48 @@ def run_preset(preset: dict, *, inputs: list[str] | None = None, variables: dict
     return manifest
 
 
+PRESETS = Path(__file__).with_name("presets")
+
+
 def load_preset(path: str) -> dict:
-    """A preset of a YAML file, if a YAML reader is installed, or of a JSON file."""
+    """A preset by the path of a YAML file, if a YAML reader is installed, or of a JSON file; or
+    by its name among those shipped and those in ``./pipelines``."""
+    if not path.endswith((".json", ".yaml", ".yml")):
+        return describe_preset(path)
     text = Path(path).read_text(encoding="utf-8")
     if path.endswith(".json"):
         return json.loads(text)
     import yaml
 
     return yaml.safe_load(text) or {}
+
+
+def preset_paths() -> list[Path]:
+    folders = [PRESETS, Path("pipelines")]
+    return [p for f in folders if f.is_dir() for p in sorted(f.rglob("*")) if p.suffix in (".json", ".yaml", ".yml")]
+
+
+def list_presets() -> list[dict]:
+    """``id``, ``title``, ``tags`` and ``path`` of the presets there are; those that cannot be
+    read are named by their files."""
+    found = []
+    for p in preset_paths():
+        try:
+            meta = load_preset(str(p)).get("meta", {})
+        except (ImportError, ValueError):
+            meta = {}
+        found.append({"id": meta.get("id", p.stem), "title": meta.get("title", p.stem.replace("_", " ")), "tags": meta.get("tags", []), "path": str(p)})
+    return found
+
+
+def describe_preset(name: str) -> dict:
+    """The preset of an id or of a file's name."""
+    for p in list_presets():
+        if name in (p["id"], Path(p["path"]).stem):
+            return load_preset(p["path"])
+    raise KeyError(f"no preset {name!r}; there are {[p['id'] for p in list_presets()]}")
+
+
+def read_variables(path: str | None) -> dict:
+    """Variables of a JSON or YAML file; none without a path."""
+    return load_preset(path) if path else {}

@@ -52,6 +52,7 @@ def _head(spark: SparkSession, path: str, size: int = 8192) -> str:
 
 def read_csv(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """All columns as strings; quoted cells may hold line ends and doubled quotes."""
+    path = os.path.abspath(path) if os.path.exists(path) else path  # Spark may run in another folder
     sep = delimiter or sniff_delimiter(_head(spark, path))
     return (
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
@@ -178,9 +179,9 @@ def write_csv_file(df: DataFrame, path: str, *, overwrite: bool = False, bom: bo
     Spark wrote, joined by the driver one after another. For results, not for corpora."""
     if not overwrite and os.path.exists(path):
         return path
-    folder = f"{path}.parts"
+    folder = f"{os.path.abspath(path)}.parts"
+    os.makedirs(os.path.dirname(folder), exist_ok=True)
     write_csv(df, folder, overwrite=True)
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "wb") as out:
         out.write(b"\xef\xbb\xbf" if bom else b"")
         for k, part in enumerate(sorted(Path(folder).glob("part-*.csv"))):

@@ -64,7 +64,26 @@ def parse_vtt(text: str) -> list[Cue]:
 CUES = "path string, cue int, number int, start_ms bigint, end_ms bigint, text string"
 
 
-def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
+def decoded(content: bytes, encoding: str | None = None) -> str:
+    """Text of a file: in the given encoding, else in what its byte order mark or a detector,
+    if one is installed, says, else UTF-8; stray bytes are replaced."""
+    if encoding is None:
+        if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            encoding = "utf-16"
+        else:
+            try:
+                content.decode("utf-8")
+            except UnicodeDecodeError:
+                try:
+                    import chardet
+
+                    encoding = chardet.detect(content)["encoding"]
+                except ImportError:
+                    pass
+    return content.decode(encoding or "utf-8", "replace").removeprefix("\ufeff")
+
+
+def read_subtitles(spark: SparkSession, path: str, *, encoding: str | None = None) -> DataFrame:
     """One row per cue of each file; ``.vtt`` files as WebVTT, all others as SubRip."""
     ship(spark)
 
@@ -72,7 +91,7 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             rows = []
             for p, content in zip(frame["path"], frame["content"]):
-                text = bytes(content).decode("utf-8", "replace")
+                text = decoded(bytes(content), encoding)
                 cues = parse_vtt(text) if p.lower().endswith(".vtt") else parse_srt(text)
                 rows += [(p, k, *c) for k, c in enumerate(cues, 1)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CUES.split(", ")]).astype({"number": "Int32"})
@@ -101,11 +120,11 @@ def to_table(cues: DataFrame, *, name: str | None = None) -> DataFrame:
     return cues.select("path", "cue", *times, *([F.coalesce(F.col(name), F.lit("")).alias("name")] if name else []), "text")
 
 
-def convert(spark: SparkSession, path: str, to: str, *, name: str | None = None) -> DataFrame:
+def convert(spark: SparkSession, path: str, to: str, *, name: str | None = None, encoding: str | None = None) -> DataFrame:
     """Subtitle files as ``csv`` rows, or as one ``srt`` or ``vtt`` content a file."""
     if to not in ("csv", "srt", "vtt"):
         raise ValueError("to is csv, srt or vtt")
-    cues = read_subtitles(spark, path)
+    cues = read_subtitles(spark, path, encoding=encoding)
     return to_table(cues, name=name) if to == "csv" else to_lines(cues, to, name=name)
 
 

@@ -251,17 +251,6 @@ def test_stream_metrics(spark, tmp_path):
     assert {r["id"]: r["ttr"] for r in spark.table("m1").collect()} == {1: pytest.approx(2 / 3), 2: None}
 
 
-def test_command_line(spark, tmp_path, capsys):
-    from sheaf import cli
-
-    (tmp_path / "a.csv").write_text("id,t\n1,a b a\n2,c\n")
-    assert cli.main(["lexical", str(tmp_path / "a.csv"), str(tmp_path / "out"), "--text-cols", "t", "--id-cols", "id"]) == 0
-    out = {r["text_id"]: r["ttr"] for r in files.read_csv(spark, str(tmp_path / "out"), delimiter=",").collect()}
-    assert float(out["1"]) == pytest.approx(2 / 3) and float(out["2"]) == 1
-    (tmp_path / "v.mp4").write_bytes(b"")
-    assert cli.main(["find", str(tmp_path)]) == 0 and "v.mp4" in capsys.readouterr().out
-
-
 def test_transcript_columns_and_labels(spark):
     assert transcripts.transcript_columns(["t0", "end_time", "spk", "from"]) == ("from", "end_time", "spk")
     with pytest.raises(ValueError):
