@@ -74,6 +74,18 @@ def utterances(words: list[str], speakers: list[str], starts: list[float], ends:
     return out
 
 
+def realigned_words(words: DataFrame, item: str, order: str) -> DataFrame:
+    """``words`` (item, order, word, speaker and others) with the realigned speakers."""
+    ship(words.sparkSession)
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame.sort_values(order)
+        f["speaker"] = realign(list(f["word"]), list(f["speaker"]))
+        return f
+
+    return words.groupBy(item).applyInPandas(work, words.schema)
+
+
 def speaker_utterances(words: DataFrame, item: str, order: str, turns: DataFrame | None = None) -> DataFrame:
     """``words``: item, order, word, speaker, start, end; ``turns``: item, speaker, start, end.
     One row per utterance of an item; an item is one recording, whose words fit a task. With

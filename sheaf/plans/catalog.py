@@ -161,18 +161,24 @@ def turn_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.merge_turns(rows, ["user_id"], ["t", "event_id"], "event_type", "t", "t_end")
 
 
-_TURNS = f"SELECT user_id, {_T} AS turn_start, {_T} + 5000000 AS turn_end, event_type AS speaker FROM events WHERE event_id % 5 = 0"
+_MERGED = f"""e AS (SELECT user_id, event_id, event_type, {_T} AS t FROM events),
+x AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM x),
+t AS (SELECT user_id, min(t) AS turn_start, max(t + 1000000) AS turn_end, min(event_type) AS speaker FROM y GROUP BY user_id, segment)"""
 
 
-@query(f"""WITH t AS ({_TURNS}), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn_start, turn_end, speaker) AS k FROM t),
-w AS (SELECT user_id, event_id AS word_id, {_T} AS a FROM events),
+@query(f"""WITH {_MERGED}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn_start, turn_end, speaker) AS k FROM t),
+w AS (SELECT user_id, event_id AS word_id, {_T} + 700000 AS a FROM events),
 f AS (SELECT w.user_id, w.word_id, min(n.k) AS k FROM w JOIN n ON w.user_id = n.user_id AND n.turn_end >= w.a GROUP BY 1, 2),
 l AS (SELECT user_id, max(k) AS k FROM n GROUP BY 1)
 SELECT w.user_id, w.word_id, n.speaker FROM w LEFT JOIN f ON w.user_id = f.user_id AND w.word_id = f.word_id LEFT JOIN l ON w.user_id = l.user_id LEFT JOIN n ON n.user_id = w.user_id AND n.k = coalesce(f.k, l.k)""")
 def word_speaker_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a word, and runs of one kind of event are the turns."""
     rows = _timed(spark, sf_dir)
-    turns = rows.where("event_id % 5 = 0").select("user_id", F.col("t").alias("turn_start"), (F.col("t") + 5000000).alias("turn_end"), F.col("event_type").alias("speaker"))
-    words = rows.select("user_id", F.col("event_id").alias("word_id"), F.col("t").cast("double").alias("word_start"), F.col("t").cast("double").alias("word_end"))
+    turns = intervals.merge_turns(rows.withColumn("t_end", F.col("t") + 1000000), ["user_id"], ["t", "event_id"], "event_type", "t", "t_end")
+    turns = turns.select("user_id", F.col("t").alias("turn_start"), F.col("t_end").alias("turn_end"), F.col("event_type").alias("speaker"))
+    at = (F.col("t") + 700000).cast("double")
+    words = rows.select("user_id", F.col("event_id").alias("word_id"), at.alias("word_start"), at.alias("word_end"))
     return intervals.word_speakers(words, turns, "user_id").select("user_id", "word_id", "speaker")
 
 
@@ -255,11 +261,14 @@ def dict_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "WC", "BigWords", "Comma", "demo__Dic", "demo__function", "demo__tion", "demo__pair")
 
 
-@query("""WITH t AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents), w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[ \\t\\r\\n\\f]+'), lambda x: regexp_matches(x, '[\\pL0-9]')) AS w FROM t),
+_READ = """t AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS t FROM documents), w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[ \\t\\r\\n\\f]+'), lambda x: regexp_matches(x, '[\\pL0-9]')) AS w FROM t),
 y AS (SELECT doc_id, t, w, list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouyáàâäãåæéèêëíìîïóòôöõøúùûüýœ]+')) - CASE WHEN regexp_matches(x, '[^aeiouy]e[^\\pL]*$') AND len(regexp_extract_all(x, '[aeiouyáàâäãåæéèêëíìîïóòôöõøúùûüýœ]+')) > 1 THEN 1 ELSE 0 END)) AS y FROM w),
 c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS wn, CAST(greatest(1, len(regexp_extract_all(t, '[.!?]+([ \\t\\r\\n\\f]|$)'))) AS BIGINT) AS sn, CAST(coalesce(list_sum(y), 0) AS BIGINT) AS yn, CAST(len(list_filter(y, lambda k: k >= 3)) AS BIGINT) AS pn,
- CAST(length(regexp_replace(t, '[ \\t\\r\\n\\f]+', '', 'g')) AS BIGINT) AS cn, CAST(length(regexp_replace(t, '[^\\pL]+', '', 'g')) AS BIGINT) AS ln FROM y)
-SELECT doc_id, wn AS lexicon_count, sn AS sentence_count, yn AS syllable_count, cn AS char_count, round(CASE WHEN wn > 0 THEN 206.835 - 1.015 * wn / sn - 84.6 * yn / wn END, 9) AS flesch_reading_ease, round(CASE WHEN wn > 0 THEN 0.39 * wn / sn + 11.8 * yn / wn - 15.59 END, 9) AS flesch_kincaid_grade,
+ CAST(length(regexp_replace(t, '[ \\t\\r\\n\\f]+', '', 'g')) AS BIGINT) AS cn, CAST(length(regexp_replace(t, '[^\\pL]+', '', 'g')) AS BIGINT) AS ln,
+ CAST(coalesce(list_sum(list_transform(y[1:100], lambda k: CASE WHEN k >= 3 THEN 3 ELSE 1 END)), 0) AS DOUBLE) AS hw, CAST(greatest(1, len(list_filter(w[1:100], lambda x: regexp_matches(x, '[.!?]$')))) AS DOUBLE) AS hs FROM y)"""
+
+
+@query(f"""WITH {_READ} SELECT doc_id, wn AS lexicon_count, sn AS sentence_count, yn AS syllable_count, cn AS char_count, round(CASE WHEN wn > 0 THEN 206.835 - 1.015 * wn / sn - 84.6 * yn / wn END, 9) AS flesch_reading_ease, round(CASE WHEN wn > 0 THEN 0.39 * wn / sn + 11.8 * yn / wn - 15.59 END, 9) AS flesch_kincaid_grade,
  round(CASE WHEN wn > 0 THEN 1.0430 * sqrt(30.0 * pn / sn) + 3.1291 END, 9) AS smog_index, round(CASE WHEN wn > 0 THEN 0.0588 * (100.0 * ln / wn) - 0.296 * (100.0 * sn / wn) - 15.8 END, 9) AS coleman_liau_index, round(CASE WHEN wn > 0 THEN 4.71 * cn / wn + 0.5 * wn / sn - 21.43 END, 9) AS automated_readability_index,
  round(CASE WHEN wn > 0 THEN 0.4 * (1.0 * wn / sn + 100.0 * pn / wn) END, 9) AS gunning_fog FROM c""")
 def read_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,11 +276,6 @@ def read_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("doc_id", "lexicon_count", "sentence_count", "syllable_count", "char_count", "flesch_reading_ease", "flesch_kincaid_grade", "smog_index", "coleman_liau_index", "automated_readability_index", "gunning_fog"), 9)
 
 
-@query()
-def read_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readability.readability(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
 _POOL = """u AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings), m AS (SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM u GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1)"""
 
 
@@ -303,16 +307,6 @@ def turn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(intervals.turn_summary(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"]), 4)
 
 
-@query()
-def speaker_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of conversations as a transcript, realigned and grouped into utterances."""
-    from sheaf.operators.speech import speaker_utterances as run
-
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.posexplode(F.split("text", " ")).alias("k", "word"))
-    at = F.col("turn") * 1000.0 + F.col("k")
-    return run(words.select("conv_id", at.alias("o"), "word", "speaker", at.alias("start"), (at + 1).alias("end")), "conv_id", "o")
-
-
 @query("""WITH w AS (SELECT user_id, event_id, CASE WHEN event_id % 4 <> 0 THEN event_id * 1.0::DOUBLE END AS s, CASE WHEN event_id % 3 <> 0 THEN event_id + 0.5::DOUBLE END AS e FROM events)
 SELECT user_id, event_id, coalesce(s, last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS word_start,
 coalesce(e, first_value(s IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), s) AS word_end FROM w""")

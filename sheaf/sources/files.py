@@ -69,6 +69,11 @@ def list_files(root: str, pattern: str = "*", recursive: bool = True) -> list[st
     return sorted(str(p) for p in (base.rglob(pattern) if recursive else base.glob(pattern)) if p.is_file())
 
 
+def without_missing(df: DataFrame) -> DataFrame:
+    """A table of text whose cells that stand for a missing value are null."""
+    return df.select(*[F.when(~F.col(quoted(c)).isin(MISSING), F.col(quoted(c))).alias(c) for c in df.columns])
+
+
 def gather_csvs(spark: SparkSession, root: str, *, pattern: str = "*.csv", recursive: bool = True, delimiter: str | None = None,
                 add_source_path: bool = False) -> tuple[DataFrame, list[str]]:
     """The union of all readable CSV files under all their columns, with ``source`` first; and
@@ -76,8 +81,7 @@ def gather_csvs(spark: SparkSession, root: str, *, pattern: str = "*.csv", recur
     frames, bad = [], []
     for path in list_files(root, pattern, recursive):
         try:
-            frame = read_csv(spark, path, delimiter=delimiter)
-            frame = frame.select(*[F.when(~F.col(quoted(c)).isin(MISSING), F.col(quoted(c))).alias(c) for c in frame.columns])
+            frame = without_missing(read_csv(spark, path, delimiter=delimiter))
             frames.append(add_source(frame, Path(path).stem, path if add_source_path else None))
         except (AnalysisException, PySparkException, OSError, UnicodeError):
             bad.append(path)

@@ -83,9 +83,10 @@ def decoded(content: bytes, encoding: str | None = None) -> str:
     return content.decode(encoding or "utf-8", "replace").removeprefix("\ufeff")
 
 
-def read_subtitles(spark: SparkSession, path: str, *, encoding: str | None = None) -> DataFrame:
-    """One row per cue of each file; ``.vtt`` files as WebVTT, all others as SubRip."""
-    ship(spark)
+def parse_contents(files: DataFrame, *, encoding: str | None = None) -> DataFrame:
+    """One row per cue of each of the files ``path, content``; paths that end in ``.vtt`` as
+    WebVTT, all others as SubRip."""
+    ship(files.sparkSession)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -96,8 +97,12 @@ def read_subtitles(spark: SparkSession, path: str, *, encoding: str | None = Non
                 rows += [(p, k, *c) for k, c in enumerate(cues, 1)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CUES.split(", ")]).astype({"number": "Int32"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, CUES)
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(parse, CUES)
+
+
+def read_subtitles(spark: SparkSession, path: str, *, encoding: str | None = None) -> DataFrame:
+    """The cues of a file or of the files of a folder."""
+    return parse_contents(spark.read.format("binaryFile").load(path), encoding=encoding)
 
 
 def to_lines(cues: DataFrame, kind: str, *, name: str | None = None) -> DataFrame:
