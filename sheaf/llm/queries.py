@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.runtime import table
+from sheaf.runtime import spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,49 +25,49 @@ def query(f):
 def op1_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.repair import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return encode_documents(spread(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
 
 
 @query
 def op5_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return pack_documents(spread(table(spark, sf_dir, "documents")), tokenizer("byte_bpe_50k.json"))
 
 
 @query
 def op8_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 @query
 def op10_piece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.piecebpe import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return encode_documents(spread(table(spark, sf_dir, "documents")), tokenizer("piece_bpe_32k.model"))
 
 
 @query
 def op7_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.langid import identify
 
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(spread(table(spark, sf_dir, "documents")))
 
 
 @query
 def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.toxicity import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 @query
 def op6_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.maxscore import top_k
 
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return top_k(spread(table(spark, sf_dir, "embeddings")))
 
 
 ORACLE_SQL["op6_maxscore_top_k"] = """
@@ -90,7 +90,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.linechunks import dedup_lines
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup_lines(docs, count_col="chunks_removed")
 
 
@@ -100,7 +100,7 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from sheaf.llm.licenses import scan
 
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(spread(table(spark, sf_dir, "documents")))
     return found.select(
         "doc_id",
         F.array_join("sentence_ids", " ").alias("sentence_ids"),
@@ -127,5 +127,5 @@ def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no sound, so each embedding is played as a melody."""
     from sheaf.llm.chroma import recordings, render
 
-    found = recordings(table(spark, sf_dir, "embeddings"), id_col="vec_id", media_col="embedding", decode=render)
+    found = recordings(spread(table(spark, sf_dir, "embeddings")), id_col="vec_id", media_col="embedding", decode=render)
     return found.withColumnRenamed("id", "vec_id")
