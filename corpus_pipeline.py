@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import langid, linechunks, packing, simhash, toxicity
 from sheaf.llm.queries import tokenizer
-from sheaf.runtime import materialize, table
+from sheaf.runtime import materialize, spread, table
 
 #: A document goes at this probability of being toxic.
 TOXIC_AT = 0.3
@@ -76,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
