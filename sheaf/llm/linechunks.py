@@ -10,7 +10,7 @@ been grouped by its bytes.
 
 Runs on built-in expressions only. Chunk hashes are counted with a combine before the
 shuffle; only chunks whose hash repeats carry their bytes on. Small sides are broadcast
-after their rows have been counted, larger ones are joined by a shuffle that splits skewed
+after the sizes of their rows have been added up, larger ones are joined by a shuffle that splits skewed
 keys. All documents' texts are never regrouped: chunk places to remove come back to the
 documents by id.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.runtime import materialize, quoted
+from sheaf.runtime import materialize, quoted, small
 
 _P = "__sheaf_"
 _MODULUS = 2147483647
@@ -68,11 +68,6 @@ def _solid_lines(chunk: Column) -> Column:
     return F.size(F.filter(F.split(chunk, "\n", -1), lambda x: F.length(F.trim(x)) > 0))
 
 
-def _small(df: DataFrame, row_bytes: int, most: int) -> DataFrame:
-    """Marked for broadcast if its counted rows stay under ``most`` bytes."""
-    return F.broadcast(df) if df.count() * row_bytes <= most else df
-
-
 def repeated_places(docs: DataFrame, id_col: str, text_col: str, min_lines: int, broadcast_bytes: int) -> DataFrame:
     """(id, th, idx): the chunks to remove. ``th`` is the text's hash, ``idx`` counts from 0."""
     own = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t")).where("t is not null")
@@ -80,7 +75,7 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, min_lines: int,
     rows = with_chunks(own, F.col("t")).select("id", "th", F.posexplode(f"{_P}chunks").alias("idx", "chunk"))
     rows = rows.where(_solid_lines(F.col("chunk")) >= min_lines).withColumn("h", F.xxhash64("chunk"))
     again = materialize(rows.groupBy("h").count().where("count > 1").select("h"), "hashes")
-    shared = materialize(rows.join(_small(again, 16, broadcast_bytes), "h"), "candidates")
+    shared = materialize(rows.join(small(again, 16, broadcast_bytes), "h"), "candidates")
     first = shared.groupBy("h", "chunk").agg(
         F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th", "idx")).alias("first"), F.count("*").alias("n")
     )
@@ -102,7 +97,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(quoted(text_col))
     rows = docs.withColumn(f"{_P}key", F.xxhash64(text))
     on = F.col(quoted(id_col)).eqNullSafe(F.col(f"{_P}id")) & (F.col(f"{_P}key") == F.col(f"{_P}th")) & text.isNotNull()
-    met = rows.join(_small(gone, 96, broadcast_bytes), on, "left")
+    met = rows.join(small(gone, 64 + 8 * F.size(f"{_P}gone"), broadcast_bytes), on, "left")
     cut = with_chunks(met, F.when(F.col(f"{_P}gone").isNotNull(), text))
     kept = F.filter(f"{_P}chunks", lambda x, i: ~F.array_contains(F.col(f"{_P}gone"), i))
     found = F.when(F.col(f"{_P}gone").isNull(), text).otherwise(F.array_join(kept, "\n"))

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from sheaf.llm import workercache
 from sheaf.llm.components import components
-from sheaf.runtime import materialize, quoted, ship
+from sheaf.runtime import materialize, quoted, ship, small
 
 _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 
@@ -204,7 +204,7 @@ def _edges(rows: np.ndarray, bits: int, least: int, small: int = 16) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def links(distinct: DataFrame, bits: int = 4, block: int = 4096, positions: int | None = None, broadcast_rows: int = 500_000) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 4, block: int = 4096, positions: int | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(a, b): a spanning forest of the links between distinct fingerprints ``fp``.
 
     What meets is counted first, combined before the shuffle. A short list meets in one
@@ -222,9 +222,7 @@ def links(distinct: DataFrame, bits: int = 4, block: int = 4096, positions: int
     index = distinct.select("fp", F.explode(F.array(*lists)).alias("list"))
     long_lists = materialize(index.groupBy("list").count().where(F.col("count") > block), "lists")
     blocks = long_lists.select("list", F.ceil(F.col("count") * 2 / F.lit(block)).cast("int").alias("m"))
-    if long_lists.count() <= broadcast_rows:
-        blocks = F.broadcast(blocks)
-    dealt = index.join(blocks, "list", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    dealt = index.join(small(blocks, 16, broadcast_bytes), "list", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     pairs = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
@@ -268,23 +266,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 32 << 20, **how) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one of each component stays:
     that of the smallest id, then of the smallest hash of its text, then of the first of all
     its columns in order. Rows without an id come after all others."""
-    names = docs.columns
-    key = F.struct(F.col(quoted(id_col)).cast("long").isNull().alias("no"), F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("th"))
-    found = grouped(docs, id_col=id_col, text_col=text_col, keep={"th": F.xxhash64(F.col(quoted(text_col)))}, **how)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "th")).alias("__sheaf_kept"))
-    kept = materialize(kept.select("__sheaf_kept"), "kept")
-    left = docs.withColumn("__sheaf_key", key)
-    same = [F.col(f"__sheaf_key.{c}").eqNullSafe(F.col(f"__sheaf_kept.{c}")) for c in ("no", "id", "th")]
-    left = left.join(kept, reduce(lambda x, y: x & y, same), "left_semi")
-    # rows that are equal in id and text are still all there
-    again = found.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
-    if again:
-        return left.select(*[F.col(quoted(n)) for n in names])
-    whole = F.struct(*[F.col(quoted(n)) for n in names])
+    names = [F.col(quoted(n)) for n in docs.columns]
+    ident, th = F.col(quoted(id_col)).cast("long"), F.xxhash64(F.col(quoted(text_col)))
+    found = grouped(docs, id_col=id_col, text_col=text_col, keep={"th": th}, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "th"))
+    kept = found.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("doc_id"), F.col("k.th").alias("th"))
+    rows = materialize(found.groupBy("doc_id", "th").count(), "rows")
+    # few rows go, and fewer are equal in id and text: only these are looked up
+    gone = rows.alias("r").join(kept.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.th") == F.col("k.th")), "left_anti")
+    gone, twice = (materialize(x.select(F.col("doc_id").alias("__sheaf_id"), F.col("th").alias("__sheaf_th")), "rows") for x in (gone, rows.where("count > 1")))
+    same = ident.eqNullSafe(F.col("__sheaf_id")) & (th == F.col("__sheaf_th"))
+    left = docs.join(small(gone, 64, broadcast_bytes), same, "left_anti")
+    if twice.isEmpty():
+        return left.select(*names)
+    twice = small(twice, 64, broadcast_bytes)
+    whole = F.struct(*names)
     least = F.min_by(whole, F.to_json(whole)) if "map<" in docs.schema.simpleString() else F.min(whole)  # maps have no order
-    one = left.groupBy("__sheaf_key").agg(least.alias("__sheaf_row")).select("__sheaf_row")
-    return one.select(*[F.col("__sheaf_row").getField(n).alias(n) for n in names])
+    one = left.join(twice, same, "left_semi").groupBy(ident, th).agg(least.alias("__sheaf_row"))
+    return left.join(twice, same, "left_anti").select(*names).unionByName(one.select(*[F.col("__sheaf_row").getField(n).alias(n) for n in docs.columns]))

@@ -547,7 +547,7 @@ def test_links_keep_all_components(spark):
         want.setdefault(t, set()).add(simhash._signed(p))
     want = {frozenset(v) for v in want.values() if len(v) > 1}
     for block, finish, positions in ((4096, 250_000, None), (30, 0, 2), (4096, 250_000, 3), (30, 250_000, 3), (4096, 250_000, 4)):
-        edges = simhash.links(df, block=block, positions=positions, broadcast_rows=500_000 if block > 30 else 0)
+        edges = simhash.links(df, block=block, positions=positions, broadcast_bytes=32 << 20 if block > 30 else 0)
         got = {}
         for r in components.components(edges, finish=finish).collect():
             got.setdefault(r["root"], set()).add(r["node"])
@@ -727,9 +727,10 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     rows += [(None, "no id at all", "de"), (None, "no id at all", "fr"), (None, "no id, another text that nobody else has written so far", "de"), (3, "some words that are here twice in a row", "de")]
     for order in (rows, rows[::-1]):
         df = table(spark, order)
-        got = simhash.one_of_each(df)
-        assert got.columns == df.columns
-        assert rows_of(got, "doc_id", "text") == one_of_each_class(rows)
+        for most in (32 << 20, 0):
+            got = simhash.one_of_each(df, broadcast_bytes=most)
+            assert got.columns == df.columns
+            assert rows_of(got, "doc_id", "text") == one_of_each_class(rows)
     assert sorted(r["lang"] for r in got.collect()) == ["de", "de", "de", "en"]
     only = [(k, f"{w} boats and rivers", "en") for k, w in enumerate(["red", "blue", "grey"])]
     assert rows_of(simhash.one_of_each(table(spark, only)), "doc_id", "text") == one_of_each_class(only)
