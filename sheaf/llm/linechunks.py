@@ -1,21 +1,23 @@
 """Content-defined line chunks: passages of several lines that repeat anywhere are removed.
 
-Every line has a hash, and a rolling hash over the last two lines' hashes runs down the
-text. A chunk ends after a line whose rolling hash is a local minimum, so boundaries follow
-the content: lines added above a passage do not move the boundaries inside it, and two
-boundaries are at least two lines apart. A chunk of at least ``min_lines`` non-blank lines
-whose bytes occur more than once is kept where it occurs first, by document id and then by
-position, and removed everywhere else. Hashes only find candidates; what is removed has
-been grouped by its bytes.
-
-Runs on built-in expressions only. Chunk hashes are counted with a combine before the
-shuffle; only chunks whose hash repeats carry their bytes on. Small sides are broadcast
-after the sizes of their rows have been added up, larger ones are joined by a shuffle that splits skewed
-keys. All documents' texts are never regrouped: chunk places to remove come back to the
-documents by id.
+Every line has a hash, and a rolling hash over the hashes of two neighbouring lines runs down
+the text. Where it turns from a value that the corpus has once to one that it has again, or
+back, is a boundary: boundaries follow the content, so lines added above or around a passage
+do not move them, and a repeated passage of two lines or more is a chunk from its first line
+to its last, in whatever surroundings. Blank lines end a chunk.
+
+Hashes only find candidates. The lines under each repeated rolling hash are grouped by their
+bytes; they are kept where they occur first, by document id and then by position, and
+removed everywhere else, so every line that goes is still there where it came first.
+
+Runs on built-in expressions only. Rolling hashes are counted with a combine before the
+shuffle; only lines under a hash that repeats carry their bytes on. Small sides are
+broadcast after the sizes of their rows have been added up, larger ones are joined by a
+shuffle that splits skewed keys. All documents' texts are never regrouped: places to remove
+come back to the documents by id.
 
 Defined cases: a null text stays null and an empty one empty; a document that loses all
-its chunks has the empty text; rows that repeat an id and a text are one document, each row
+its lines has the empty text; rows that repeat an id and a text are one document, each row
 coming back the same; rows that share an id but not a text are different documents; a null
 id sorts last; an empty table gives no rows; other columns pass through, whatever their
 names.
@@ -30,7 +32,7 @@ from sheaf.runtime import materialize, quoted, small
 
 _P = "__sheaf_"
 _MODULUS = 2147483647
-_FACTOR = 16807
+_FACTORS = (16807, 48271)
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -38,97 +40,85 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def with_chunks(df: DataFrame, text: Column) -> DataFrame:
-    """Add ``__sheaf_chunks``: an array of chunk texts in order."""
-    lines = _once(df, **{f"{_P}lines": F.split(F.coalesce(text, F.lit("")), "\n", -1)})
-    hashed = _once(lines, **{f"{_P}h": F.transform(f"{_P}lines", line_hash)})
-    h = F.col(f"{_P}h")
-    roll = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), h), h, lambda a, b: (a * _FACTOR + b) % _MODULUS)
-    rolled = _once(hashed, **{f"{_P}r": F.slice(roll, F.lit(1), F.size(h))})
-    r = F.col(f"{_P}r")
-    last = F.size(r) - 1
-    ends = F.filter(
-        F.sequence(F.lit(0), last),
-        lambda i: (i > 0) & (i < last) & (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1)),
-    )
-    cut = _once(rolled, **{f"{_P}cut": F.concat(F.array(F.lit(-1)), ends, F.array(last))})
-    c = F.col(f"{_P}cut")
-    chunk = F.transform(
-        F.slice(c, F.lit(1), F.size(c) - 1),
-        lambda a, k: F.array_join(F.slice(F.col(f"{_P}lines"), a + 2, F.get(c, k + 1) - a), "\n"),
-    )
-    return cut.withColumn(f"{_P}chunks", chunk).drop(f"{_P}lines", f"{_P}h", f"{_P}r", f"{_P}cut")
+def _half(line_hash: Column, k: int) -> Column:
+    """The upper or lower 31 bits of a line's hash."""
+    return F.shiftrightunsigned(line_hash, 33 * (1 - k)).bitwiseAND(F.lit(_MODULUS))
 
 
-def _solid_lines(chunk: Column) -> Column:
-    return F.size(F.filter(F.split(chunk, "\n", -1), lambda x: F.length(F.trim(x)) > 0))
+def rolling_hash(before: Column, line: Column) -> Column:
+    """Of two neighbouring lines' hashes: two polynomials of 31 bits side by side."""
+    high, low = ((_half(before, k) * factor + _half(line, k)) % _MODULUS for k, factor in enumerate(_FACTORS))
+    return F.shiftleft(high, 31).bitwiseOR(low)
+
+
+def with_rolls(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``__sheaf_lines`` and ``__sheaf_rolls``: for every line but the first the rolling
+    hash of it and the one before, or null where one of them is blank."""
+    lined = _once(df, **{f"{_P}lines": lines_of(text)})
+    hashed = _once(lined, **{f"{_P}h": F.transform(f"{_P}lines", lambda x: F.when(F.length(F.trim(x)) > 0, F.xxhash64(x)))})
+    h = F.col(f"{_P}h")
+    rolls = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), rolling_hash)  # one longer than there are neighbours, ended by a null
+    return _once(hashed, **{f"{_P}rolls": rolls}).drop(f"{_P}h")
 
 
-def repeated_places(docs: DataFrame, id_col: str, text_col: str, min_lines: int, broadcast_bytes: int) -> DataFrame:
-    """(id, th, idx): the chunks to remove. ``th`` is the text's hash, ``idx`` counts from 0."""
+def repeated_places(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> DataFrame:
+    """(id, th, idx): the pairs of lines idx and idx + 1, from 0, to remove. ``th`` is the
+    text's hash."""
     own = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t")).where("t is not null")
     own = own.withColumn("th", F.xxhash64("t"))
-    rows = with_chunks(own, F.col("t")).select("id", "th", F.posexplode(f"{_P}chunks").alias("idx", "chunk"))
-    rows = rows.where(_solid_lines(F.col("chunk")) >= min_lines).withColumn("h", F.xxhash64("chunk"))
-    again = materialize(rows.groupBy("h").count().where("count > 1").select("h"), "hashes")
+    rolled = with_rolls(own, F.col("t"))
+    counted = rolled.select(F.explode(f"{_P}rolls").alias("h")).where("h is not null").groupBy("h").count()
+    again = materialize(counted.where("count > 1").select("h"), "hashes")
+    both = lambda h, i: F.struct(i.alias("idx"), h.alias("h"), F.concat_ws("\n", F.get(f"{_P}lines", i), F.get(f"{_P}lines", i + 1)).alias("lines"))
+    pairs = F.filter(F.transform(f"{_P}rolls", both), lambda x: x["h"].isNotNull())
+    rows = rolled.select("id", "th", F.inline(pairs))
     shared = materialize(rows.join(small(again, 16, broadcast_bytes), "h"), "candidates")
-    first = shared.groupBy("h", "chunk").agg(
+    first = shared.groupBy("h", "lines").agg(
         F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th", "idx")).alias("first"), F.count("*").alias("n")
     )
-    kept = materialize(first.where("n > 1").select("h", "chunk", "first"), "kept")  # apart, so that a skewed join can be split
+    kept = materialize(first.where("n > 1").select("h", "lines", "first"), "kept")  # apart, so that a skewed join can be split
     other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("idx") == F.col("first.idx")))
-    return shared.join(kept, ["h", "chunk"]).where(other).select("id", "th", "idx")
+    return shared.join(kept, ["h", "lines"]).where(other).select("id", "th", "idx")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
-                count_col: str | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None,
+                broadcast_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text_col``; every row comes back.
 
-    ``count_col`` names an added column with the number of chunks removed.
+    ``count_col`` names an added column with the number of lines removed.
     """
     names = docs.columns
-    places = repeated_places(docs, id_col, text_col, min_lines, broadcast_bytes)
-    gone = materialize(places.distinct().groupBy("id", "th").agg(F.collect_set("idx").alias("gone")), "places")
+    places = repeated_places(docs, id_col, text_col, broadcast_bytes)
+    gone = materialize(places.groupBy("id", "th").agg(F.collect_set("idx").alias("gone")), "places")
     gone = gone.select(F.col("id").alias(f"{_P}id"), F.col("th").alias(f"{_P}th"), F.col("gone").alias(f"{_P}gone"))
     text = F.col(quoted(text_col))
     rows = docs.withColumn(f"{_P}key", F.xxhash64(text))
     on = F.col(quoted(id_col)).eqNullSafe(F.col(f"{_P}id")) & (F.col(f"{_P}key") == F.col(f"{_P}th")) & text.isNotNull()
     met = rows.join(small(gone, 64 + 8 * F.size(f"{_P}gone"), broadcast_bytes), on, "left")
-    cut = with_chunks(met, F.when(F.col(f"{_P}gone").isNotNull(), text))
-    kept = F.filter(f"{_P}chunks", lambda x, i: ~F.array_contains(F.col(f"{_P}gone"), i))
-    found = F.when(F.col(f"{_P}gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    lined = _once(met, **{f"{_P}lines": F.when(F.col(f"{_P}gone").isNotNull(), lines_of(text))})
+    both = F.concat(f"{_P}gone", F.transform(f"{_P}gone", lambda i: i + 1))
+    left = _once(lined, **{f"{_P}left": F.array_except(F.sequence(F.lit(0), F.size(f"{_P}lines") - 1), both)})
+    found = F.when(F.col(f"{_P}gone").isNull(), text).otherwise(F.array_join(F.transform(f"{_P}left", lambda i: F.get(f"{_P}lines", i)), "\n"))
     out = [found.alias(n) if n == text_col else F.col(quoted(n)) for n in names]
     if count_col:
-        out.append(F.coalesce(F.size(f"{_P}gone"), F.lit(0)).cast("long").alias(count_col))
-    return cut.select(*out)
+        out.append(F.coalesce(F.size(f"{_P}lines") - F.size(f"{_P}left"), F.lit(0)).cast("long").alias(count_col))
+    return left.select(*out)
 
 
 ORACLE_DEDUP = """
 lines AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
-), hashed AS (
-  SELECT doc_id, l, list_transform(l, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h FROM lines
-), rolled AS (
-  SELECT doc_id, l, h, list_transform(h, lambda x, i: (CASE WHEN i = 1 THEN 0 ELSE h[i - 1] END * 16807 + x) % 2147483647) AS r FROM hashed
-), cuts AS (
-  SELECT doc_id, l, list_concat([0], list_filter(range(1, len(l) + 1), lambda i: i > 1 AND i < len(l) AND r[i] < r[i - 1] AND r[i] <= r[i + 1]), [len(l)]) AS c
-  FROM rolled
-), chunked AS (
-  SELECT doc_id, list_transform(list_zip(c[1:len(c) - 1], c[2:len(c)]), lambda p: array_to_string(l[p[1] + 1:p[2]], chr(10))) AS chunks FROM cuts
-), exploded AS (
-  SELECT doc_id, unnest(chunks) AS chunk, unnest(range(len(chunks))) AS idx FROM chunked
-), ranked AS (
-  SELECT doc_id, idx, chunk,
-    len(list_filter(string_split(chunk, chr(10)), lambda x: length(trim(x, ' ')) > 0)) >= 2
-      AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, idx) > 1 AS gone
-  FROM exploded
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), pairs AS (
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM lines
+), gone AS (
+  SELECT doc_id, i FROM pairs WHERE trim(line, ' ') <> '' AND trim(after, ' ') <> '' QUALIFY row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1
 ), deduped AS (
-  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY idx) FILTER (NOT gone), '') AS text,
-    CAST(count(*) FILTER (gone) AS BIGINT) AS chunks_removed
-  FROM ranked GROUP BY doc_id
+  SELECT lines.doc_id, coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (a.i IS NULL AND b.i IS NULL), '') AS text,
+    CAST(count(*) FILTER (a.i IS NOT NULL OR b.i IS NOT NULL) AS BIGINT) AS lines_removed
+  FROM lines LEFT JOIN gone a ON a.doc_id = lines.doc_id AND a.i = lines.i LEFT JOIN gone b ON b.doc_id = lines.doc_id AND b.i + 1 = lines.i GROUP BY lines.doc_id
 )
 """

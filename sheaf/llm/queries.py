@@ -91,7 +91,7 @@ def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.linechunks import dedup_lines
 
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return dedup_lines(docs, count_col="chunks_removed")
+    return dedup_lines(docs, count_col="lines_removed")
 
 
 @query
@@ -113,7 +113,7 @@ def _sql_twins() -> None:
     from sheaf.llm import licenses, linechunks
 
     ORACLE_SQL["op3_line_chunk_dedup"] = (
-        f"WITH {linechunks.ORACLE_DEDUP} SELECT d.doc_id, x.text, coalesce(x.chunks_removed, 0) AS chunks_removed "
+        f"WITH {linechunks.ORACLE_DEDUP} SELECT d.doc_id, x.text, coalesce(x.lines_removed, 0) AS lines_removed "
         "FROM documents d LEFT JOIN deduped x USING (doc_id)"
     )
     ORACLE_SQL["op4_license_rules"] = licenses.oracle()
