@@ -25,8 +25,13 @@ from pyspark.sql import functions as F
 
 from sheaf.runtime import quoted
 
+_GNU = "under the terms of the gnu {kind} public license as published by the free software foundation either version {version} of the license or at your option any later version"
+_HOPE = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+
 # Normalised licence sentences by identifier.
 SENTENCES = {
+    "agpl3-free": "this program is free software you can redistribute it and or modify it " + _GNU.format(kind="affero general", version="3"),
+    "agpl-see": "see the gnu affero general public license for more details",
     "apache2-licensed": "licensed under the apache license version 2 0",
     "apache2-the-license": "licensed under the apache license version 2 0 the license",
     "apache2-not-use": "you may not use this file except in compliance with the license",
@@ -37,42 +42,78 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
     "cc-by-nc4": "licensed under cc by nc 4 0",
     "cc-by4": "licensed under cc by 4 0",
     "cc-by-sa4": "licensed under cc by sa 4 0",
     "cc0": "released under cc0 1 0 universal",
+    "epl2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "epl2-v": "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution and is available at",
     "gpl2-work": "this work is licensed under the gnu general public license version 2",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it " + _GNU.format(kind="general", version="2"),
     "gpl3-work": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-free": "this program is free software you can redistribute it and or modify it " + _GNU.format(kind="general", version="3"),
+    "gpl-hope": "this program " + _HOPE,
     "gpl-see": "see the gnu general public license for more details",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liable": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it " + _GNU.format(kind="lesser general", version="2 1"),
+    "lgpl3-free": "this program is free software you can redistribute it and or modify it " + _GNU.format(kind="lesser general", version="3"),
+    "lgpl3-library": "this library is free software you can redistribute it and or modify it " + _GNU.format(kind="lesser general", version="3"),
+    "lgpl-hope": "this library " + _HOPE,
+    "lgpl-see": "see the gnu lesser general public license for more details",
     "mit-released": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mpl2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
     "rights-reserved": "all rights reserved",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zero-bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 
 # Rules as a licence and its sentences in order.
 RULES = [
+    ("0bsd", ["zero-bsd-grant", "isc-as-is"]),
+    ("agpl-3.0-or-later", ["agpl3-free"]),
     ("apache-2.0", ["apache2-licensed"]),
     ("apache-2.0", ["apache2-the-license", "apache2-not-use", "apache2-copy-at"]),
     ("apache-2.0", ["apache2-not-use", "apache2-as-is", "apache2-see"]),
     ("bsd-2-clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("bsd-3-clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("bsl-1.0", ["bsl-grant"]),
     ("cc-by-nc-4.0", ["cc-by-nc4"]),
     ("cc-by-4.0", ["cc-by4"]),
     ("cc-by-sa-4.0", ["cc-by-sa4"]),
     ("cc0-1.0", ["cc0"]),
+    ("epl-2.0", ["epl2"]),
+    ("epl-2.0", ["epl2-v"]),
     ("gpl-2.0", ["gpl2-work"]),
+    ("gpl-2.0-or-later", ["gpl2-free", "gpl-hope"]),
     ("gpl-3.0", ["gpl3-work"]),
     ("gpl-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see"]),
+    ("isc", ["isc-grant"]),
+    ("lgpl-2.1-or-later", ["lgpl21-free"]),
+    ("lgpl-3.0-or-later", ["lgpl3-free"]),
+    ("lgpl-3.0-or-later", ["lgpl3-library"]),
     ("mit", ["mit-released"]),
     ("mit", ["mit-grant", "mit-notice"]),
     ("mpl-2.0", ["mpl2"]),
     ("proprietary", ["rights-reserved"]),
+    ("unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("zlib", ["zlib-as-is", "zlib-liable", "zlib-grant"]),
 ]
 
+# Short identifiers that stand after "SPDX-License-Identifier:".
+SHORT = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only",
+         "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+
 
 def normalized(sentence: str) -> str:
     """What the expressions make of a sentence; for sentences given by callers."""
@@ -81,6 +122,10 @@ def normalized(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+SENTENCES |= {f"spdx-{x.lower()}": normalized(f"SPDX-License-Identifier: {x}") for x in SHORT}
+RULES += [(x.lower(), [f"spdx-{x.lower()}"]) for x in SHORT]
+
+
 def bounded(text: Column) -> Column:
     """The normalised text between bounds, each a ``|``; a line without letters gives two in a row."""
     cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?:;][ \t\r\f]++(?!\n)", "\n")
