@@ -154,3 +154,12 @@ def test_variables_and_calls(tmp_path):
     assert runner.resolve("sheaf.text:analyze_readability") is calls.analyze_readability
     with pytest.raises(KeyError):
         runner.load_preset("nope")
+
+
+def test_one_object_has_it_all(spark):
+    from sheaf.session import Sheaf
+
+    s = Sheaf(spark)
+    for theme in ("gather", "text", "features", "intervals", "audio", "files", "calls"):
+        assert all(callable(f) for f in vars(getattr(s, theme)).values())
+    assert s.calls.find_files is calls.find_files

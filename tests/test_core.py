@@ -297,3 +297,20 @@ def test_convert_subtitles(spark, tmp_path):
     assert subtitles.convert(spark, str(tmp_path / "a.srt"), "vtt").first()["content"].startswith("WEBVTT\n\n00:00:01.500 --> 00:00:02.000\nhi")
     with pytest.raises(ValueError):
         subtitles.convert(spark, str(tmp_path / "a.srt"), "doc")
+
+
+def test_tables_of_few_row_groups_are_spread(spark, tmp_path):
+    from sheaf.runtime import small, spread
+
+    spark.range(2000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    out = spread(one)
+    assert out.select(F.spark_partition_id()).distinct().count() == 3 * cores and sorted(r["id"] for r in out.collect()) == list(range(2000))
+    spark.range(2000).repartition(2 * cores).write.parquet(str(tmp_path / "many"))
+    many = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "many"))
+    few = spark.read.parquet(str(tmp_path / "one")).where("id < 0")
+    assert spread(few) is few and spread(many).count() == 2000
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert hinted(one.join(small(one, 8, 16_000), "id")) and not hinted(one.join(small(one, 8, 15_999), "id"))
+    assert hinted(one.join(small(one, F.lit(4)), "id")) and small(few, 8) is not None
