@@ -201,8 +201,10 @@ def test_shifted_sound_aligns(spark):
 
 
 def test_altered_sound_aligns_like_brute_force(spark):
+    assert [chroma.extra_bits(n) for n in (0, 1000, 1 << 19, (1 << 19) + 1, 1 << 20, 1 << 21, 1 << 60)] == [0, 0, 0, 1, 3, 6, 14]
     rng = np.random.default_rng(11)
-    for start, noise, least in ((300, 0.0, 1.0), (600, 0.0, 0.97), (600, 0.1, 0.97), (600, 0.2, 0.9)):  # cuts off the frame grid
+    cases = ((300, 0.0, 1.0, 0), (600, 0.0, 0.97, 0), (600, 0.1, 0.97, 0), (600, 0.2, 0.9, 0), (600, 0.1, 0.97, 6), (600, 0.2, 0.9, 6), (600, 0.1, 0.9, 14))
+    for start, noise, least, extra in cases:  # cuts off the frame grid; keys as in larger tables
         rows, want = [], set()
         for k in range(0, 120, 2):
             rate, x = chroma.render(rng.normal(0, 1, 64).tolist())
@@ -213,30 +215,87 @@ def test_altered_sound_aligns_like_brute_force(spark):
             if min(e for e, n in tries if n >= 20) <= 0.15:
                 want.add((k, k + 1))
         classes = spark.createDataFrame(rows, "class_id long, items binary")
-        found = {(r["a"], r["b"]) for r in chroma.align(classes, most_error=0.15, least_votes=2, least_overlap=20).collect()}
+        found = {(r["a"], r["b"]) for r in chroma.align(classes, most_error=0.15, least_votes=2, least_overlap=20, extra=extra).collect()}
         assert len(want) >= 50 and len(want & found) >= least * len(want), (start, noise, len(want & found), len(want))
 
 
-# ---- op3
+def test_copies_of_a_cut_are_one_class_and_no_link_is_lost(spark):
+    rng = np.random.default_rng(12)
+    melodies, rows = rng.normal(0, 1, (12, 64)), []
+    for k, v in enumerate(melodies):
+        rate, x = chroma.render(v.tolist())
+        for copy in range(1 if k % 3 else 25):  # groups of near copies
+            rows.append((100 * k + copy, chroma.items(chroma.chroma(x + 0.01 * copy**0.5 * rng.normal(0, 1, len(x)), rate))))
+        rows.append((100 * k + 90, chroma.items(chroma.chroma(x[600:] + 0.1 * rng.normal(0, 1, len(x) - 600), rate))))  # another cut
+    classes = spark.createDataFrame([(i, bytearray(x.astype("<u4").tobytes())) for i, x in rows], "class_id long, items binary")
+    grouped = chroma.same_cuts(classes, most_error=0.15, least_votes=2, least_overlap=20)
+    group = {r["class_id"]: r["group_id"] for r in grouped.collect()}
+    assert set(group) == {i for i, _ in rows} and all(g <= i and g // 100 == i // 100 for i, g in group.items())
+    assert sum(group[100 * k + c] == 100 * k for k in range(0, 12, 3) for c in range(25)) >= 0.9 * 100
+    links = {(r["a"], r["b"]) for r in chroma.align(grouped, most_error=0.15, least_votes=2, least_overlap=20).collect()}
+    want = lost = 0
+    for n, (i, x) in enumerate(rows):
+        for j, y in rows[:n]:
+            tries = [chroma.bit_error(x, y, o) for o in range(-10, 11)]
+            if min((e for e, m in tries if m >= 20), default=1) <= 0.15:
+                want += 1
+                lost += group[i] != group[j] and tuple(sorted((group[i], group[j]))) not in links
+    assert want > 1200 and lost <= 0.02 * want, (want, lost)
+    assert all(a // 100 == b // 100 for a, b in links)
+
+
+def test_silence_and_held_sounds_do_not_vote(spark):
+    rng = np.random.default_rng(13)
+    hush = np.zeros(chroma.RATE * 12, np.float32)
+    rate, x = chroma.render(rng.normal(0, 1, 64).tolist())
+    held = np.sin(2 * np.pi * 440 * np.arange(chroma.RATE * 12) / chroma.RATE).astype(np.float32)
+    sounds = [hush, hush[:-5 * chroma.HOP], np.concatenate((hush, x)), np.concatenate((hush, x, hush)), held, held[: -3 * chroma.HOP]]
+    prints = [chroma.items(chroma.chroma(s, rate)) for s in sounds]
+    places = [chroma.voting_places(p, chroma.APART)[0] for p in prints]
+    assert len(places[0]) == len(places[1]) == 0 and len(prints[0]) > 50 and 10 < len(places[2]) < len(prints[2]) - 20 and len(places[4]) <= 4
+    classes = spark.createDataFrame([(k, bytearray(p.astype("<u4").tobytes())) for k, p in enumerate(prints)], "class_id long, items binary")
+    found = {(r["a"], r["b"], r["offset"]) for r in chroma.align(classes, most_error=0.15, least_votes=2, least_overlap=20).collect()}
+    assert (2, 3, 0) in found and {(a, b) for a, b, _ in found} <= {(2, 3), (4, 5)}
+
+
+def test_items_by_direct_sums():
+    rng = np.random.default_rng(14)
+    image = rng.random((40, 12)).astype(np.float32)
+    got = chroma.items(image)
+    assert len(got) == 40 - chroma.WIDTH + 1
+    for t in range(len(got)):
+        want = 0
+        for kind, p, h, w in chroma.FILTERS:
+            box = image[t : t + w, p : p + h].astype(float)
+            half, side = np.zeros_like(box, dtype=bool), box.shape
+            if kind == 1:
+                half[:, h // 2 :] = True
+            elif kind == 2:
+                half[w // 2 :] = True
+            elif kind == 3:
+                half[: w // 2, h // 2 :] = half[w // 2 :, : h // 2] = True
+            elif kind == 4:
+                half[:, h // 3 : h - h // 3] = True
+            elif kind == 5:
+                half[w // 4 : w - w // 4] = True
+            a, b = (side[0] * side[1] / 24, box.sum()) if kind == 0 else (box[half].sum(), box[~half].sum())
+            level = sum(np.log1p(a) - np.log1p(b) > x for x in chroma.LEVELS)
+            want = want << 2 | (0, 1, 3, 2)[level]
+        assert int(got[t]) == want
 
-def chunks_of(text):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    r = [((h[k - 1] if k else 0) * 16807 + h[k]) % 2147483647 for k in range(len(h))]
-    ends = [k for k in range(1, len(r) - 1) if r[k] < r[k - 1] and r[k] <= r[k + 1]]
-    cuts = [-1, *ends, len(lines) - 1]
-    return ["\n".join(lines[a + 1 : b + 1]) for a, b in zip(cuts, cuts[1:])]
 
+# ---- op3
 
 def brute_lines(rows):
+    """The text of each (id, text) after pairs of lines that came before are taken out."""
     seen, out = {}, []
     for i, t in sorted({(i, t) for i, t, _ in rows if t is not None}, key=lambda x: (x[0] is None, x[0] or 0)):
-        kept = []
-        for k, c in enumerate(chunks_of(t)):
-            if sum(bool(x.strip(" ")) for x in c.split("\n")) >= 2 and seen.setdefault(c, (i, t, k)) != (i, t, k):
-                continue
-            kept.append(c)
-        out.append(((i, t), "\n".join(kept)))
+        lines, gone = t.split("\n"), set()
+        for k in range(len(lines) - 1):
+            two = tuple(lines[k : k + 2])
+            if all(x.strip(" ") for x in two) and seen.setdefault(two, (i, t, k)) != (i, t, k):
+                gone |= {k, k + 1}
+        out.append(((i, t), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return dict(out)
 
 
@@ -254,6 +313,23 @@ def test_line_chunks(spark, docs, none):
     assert linechunks.dedup_lines(none).count() == 0
 
 
+def test_shared_passages_go_whole_in_any_surroundings(spark):
+    rng = random.Random(27)
+    line = lambda: " ".join(f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(999)}" for _ in range(rng.randint(8, 14)))
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 5, 9)]
+    rows, own = [], {}
+    for k in range(60):
+        before, after = ([line() for _ in range(rng.randint(0, 4))] for _ in range(2))
+        rows.append((k, "\n".join(before + passages[k % 6] + after), "en"))
+        own[k] = "\n".join(before + after)
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in linechunks.dedup_lines(table(spark, rows), count_col="n").collect()}
+    for k, text, _ in rows:
+        assert got[k] == ((text, 0) if k < 6 else (own[k], len(passages[k % 6])))
+    high, low = spark.range(1).select(linechunks.rolling_hash(F.lit(-5).cast("long"), F.lit(7).cast("long")).alias("h")).selectExpr("h >> 31", "h & 2147483647").first()
+    bits = lambda x, k: (x % 2**64) >> 33 * (1 - k) & 2147483647
+    assert (high, low) == tuple((bits(-5, k) * f + bits(7, k)) % 2147483647 for k, f in enumerate((16807, 48271)))
+
+
 # ---- op4
 
 def test_licenses(spark, docs, none):
@@ -315,6 +391,81 @@ modification, are permitted provided that the following conditions are met:
     "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "gpl-2.0-or-later": """   This program is free software; you can redistribute it and/or modify
+   it under the terms of the GNU General Public License as published by
+   the Free Software Foundation; either version 2 of the License, or
+   (at your option) any later version.
+
+   This program is distributed in the hope that it will be useful,
+   but WITHOUT ANY WARRANTY; without even the implied warranty of
+   MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+   GNU General Public License for more details.""",
+    "lgpl-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.""",
+    "lgpl-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Lesser General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "agpl-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU Affero General Public License for more details.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "0bsd": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "zlib": """  This software is provided 'as-is', without any express or implied
+  warranty. In no event will the authors be held liable for any damages
+  arising from the use of this software.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:""",
+    "epl-2.0": """ * This program and the accompanying materials are made available under the
+ * terms of the Eclipse Public License 2.0 which is available at
+ * http://www.eclipse.org/legal/epl-2.0.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list
+   of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this
+   list of conditions and the following disclaimer in the documentation and/or other
+   materials provided with the distribution.""",
+    "mit,mpl-2.0": """// SPDX-License-Identifier: MIT
+/* SPDX-License-Identifier: MPL-2.0 */""",
 }
 
 
@@ -488,6 +639,35 @@ def test_ngram_counts():
     assert dict(zip(codes.tolist(), counts.tolist())) == want
 
 
+def brute_profile(text, length):
+    """The n-grams of a text by frequency, ties by their characters."""
+    plain = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+    counts = {}
+    for n in (1, 2, 3):
+        for k in range(len(plain) - n + 1):
+            if plain[k : k + n] != " ":
+                counts[plain[k : k + n]] = counts.get(plain[k : k + n], 0) + 1
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    return [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))][:length]
+
+
+def test_distances_against_plain_ranks():
+    rng = random.Random(26)
+    words = {"aa": "the of and with this there which ring ought".split(), "bb": "der die und nicht schön straße über ich".split(), "cc": "le les des être qui où voilà nous".split()}
+    length = 40
+    ranked = {lang: brute_profile(sample(rng, own, 80), length) for lang, own in words.items()}
+    profiles = langid.Profiles(ranked, length)
+    for _ in range(200):
+        text = sample(rng, sum(words.values(), []) + ["x1", "Ça", "ŒUF"], rng.randint(1, 40))
+        top = brute_profile(text, length)
+        distance = {}
+        for lang, known in ranked.items():
+            distance[lang] = sum(abs(known.index(g) - k) if g in known else length for k, g in enumerate(top))
+        best = min(sorted(distance), key=distance.get)
+        assert profiles.predict(text) == (best, pytest.approx(1 - distance[best] / (length * len(top))))
+    assert profiles.predict("12 ?") == ("und", 0.0)
+
+
 # ---- op8
 
 def brute_fingerprint(text):
