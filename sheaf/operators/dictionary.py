@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import PUNCTUATION
-from sheaf.runtime import quoted, ship
+from sheaf.runtime import quoted, require, ship
 
 # The columns that stand once for all dictionaries.
 GLOBALS = ["WC", "BigWords", "Numbers", "AllPunct", "Period", "Comma", "QMark", "Exclam", "Apostro"]
@@ -177,6 +177,7 @@ def code(df: DataFrame, lexicons: list[Lexicon], *, text_col: str = "text", keep
         raise ValueError("no dictionaries given")
     ship(df.sparkSession)
     keep = [n for n in df.columns if n != text_col] if keep is None else keep
+    require(df, [text_col, *keep])
     t = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     names = header(lexicons)[len(GLOBALS) :]
     schema = "wc bigint, big bigint, numbers bigint, hits array<bigint>" + (", captures map<string, map<string, bigint>>" if retain_captures else "")

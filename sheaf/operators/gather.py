@@ -8,13 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import composed_id
-from sheaf.runtime import materialize, quoted
-
-
-def _check(df: DataFrame, names: list[str]) -> None:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"columns not found: {missing}; there are {df.columns}")
+from sheaf.runtime import materialize, quoted, require
 
 
 def _col(name: str) -> Column:
@@ -47,7 +41,7 @@ def gather_rows(df: DataFrame, text_cols: list[str], id_cols: list[str], *, mode
     ``concat`` joins a row's non-empty text columns; ``separate`` gives one row for each of
     them, with ``source_col``. Blank but non-empty values count as text.
     """
-    _check(df, [*text_cols, *id_cols])
+    require(df, [*text_cols, *id_cols])
     name = composed_id(*[_col(c) for c in id_cols]) if text_id is None else text_id
     base = df.select(name.alias("text_id"), *[_col(c) for c in id_cols], *[_col(c).cast("string").alias(f"__t{k}") for k, c in enumerate(text_cols)])
     ids = [_col(c) for c in id_cols]
@@ -64,9 +58,11 @@ def gather_groups(df: DataFrame, text_cols: list[str], group_by: list[str], orde
                   joiner: str = " ") -> DataFrame:
     """``text_id``, the keys, ``text`` in the given order and ``group_count`` of each group.
 
-    Only keys, order and text are shuffled. ``separate`` groups by the source column too.
+    Only keys, order and text are shuffled. ``separate`` groups by the source column too. A
+    group's text is one value, so a group is bounded by what one value may hold (2 GB); groups
+    beyond that belong under a finer key.
     """
-    _check(df, [*text_cols, *group_by, *order_by])
+    require(df, [*text_cols, *group_by, *order_by])
     keys = [_col(g) for g in group_by]
     order = [_col(o).alias(f"__o{k}") for k, o in enumerate(order_by)]
     values = [_col(c).cast("string") for c in text_cols]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.runtime import quoted, ship
+from sheaf.runtime import quoted, require, ship
 
 _VOWELS = re.compile("[aeiouyáàâäãåæéèêëíìîïóòôöõøúùûüýœ]+")
 _SILENT = re.compile(r"[^aeiouy]e[\W\d_]*$")
@@ -120,6 +120,7 @@ def consensus() -> Column:
 def readability(df: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, easy_words: list[str] | None = None) -> DataFrame:
     """``keep`` columns and the nineteen readability columns."""
     keep = [n for n in df.columns if n != text_col] if keep is None else keep
+    require(df, [text_col, *keep])
     base = with_counts(df.select(*[F.col(quoted(k)) for k in keep], F.col(quoted(text_col)).alias("__text")), F.col("__text"), easy_words)
     made = base.withColumns(indices()).withColumn("text_standard", consensus())
     made = made.withColumn("readability_consensus", F.col("text_standard"))

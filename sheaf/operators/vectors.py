@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions.text import sentences
-from sheaf.runtime import quoted, ship
+from sheaf.runtime import quoted, require, ship
 
 
 def l2(vector: Column) -> Column:
@@ -111,6 +111,7 @@ def sentence_embeddings(df: DataFrame, encode: Encoder, *, text_col: str = "text
     sentences are encoded where the text is; nothing is shuffled.
     """
     ship(df.sparkSession)
+    require(df, [id_col, text_col])
     given = [c for c in dict.fromkeys(pass_through or []) if c != id_col]
     kept = [F.col(quoted(id_col)), *[F.col(quoted(c)) if c in df.columns else F.lit("").alias(c) for c in given]]
 
@@ -188,6 +189,7 @@ def score_archetypes(df: DataFrame, blocks: dict[str, dict[str, list[str]]], enc
     sentences has no words and scores of 0.
     """
     ship(df.sparkSession)
+    require(df, [id_col, text_col])
     made: list[tuple[str, np.ndarray, np.ndarray]] = []  # column, unit vector, what is taken off
     for prefix, archetypes in blocks.items():
         found = archetype_vectors(archetypes, encode)

@@ -97,20 +97,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A row group is at most about this large, so a table of more for each core has enough.
+ROW_GROUP = 1 << 30
+
+
 def spread(df: DataFrame, least_rows: int = 64) -> DataFrame:
     """A table just read, over all cores even where its files are few large row groups.
 
     A row group is read by one task, however many splits its file has, so heavy work on each
-    row would use few cores. The rows of each task are counted, which reads footers only; the
-    rows are dealt anew if fewer tasks than cores have any and each core would get
-    ``least_rows``. Call it on a plain scan: anything above one would run for the count.
+    row would use few cores. Tables of over ROW_GROUP bytes for each core are taken as they
+    are. Of smaller ones the rows of each task are counted, which reads footers only; they are
+    dealt anew if fewer tasks than cores have any and each core would get ``least_rows``.
+    Call it on a plain scan: anything above one would run for the count.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * ROW_GROUP:
+        return df
     per_task = df.select(F.spark_partition_id().alias("p")).groupBy("p").count()
     tasks, rows = per_task.agg(F.count("*"), F.sum("count")).first()
     return df.repartition(3 * cores) if tasks < cores and (rows or 0) >= cores * least_rows else df
 
 
+def require(df: DataFrame, names: list[str]) -> None:
+    """An error at once, before any row is read, if a column is missing."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"columns not found: {missing}; there are {df.columns}")
+
+
 def quoted(name: str) -> str:
     """A column name that Spark takes literally, dots and ticks included."""
     return "`" + name.replace("`", "``") + "`"

@@ -258,3 +258,12 @@ def test_found_files_and_written_files(spark, tmp_path):
     assert data.startswith(b"\xef\xbb\xbfk,t\n") and files.write_csv_file(df, path) == path
     back = {r["k"]: r["t"] for r in files.read_csv(spark, path).collect()}
     assert back == {"1": 'a "b"\nc', "2": None}
+
+
+def test_missing_columns_are_an_error_at_once(spark, by_letters):
+    df = spark.createDataFrame([(1, "a")], "id int, text string")
+    lexicon = dictionary.Lexicon("d", {"c": ["a"]})
+    for run in (lambda: dictionary.code(df, [lexicon], text_col="nope"), lambda: dictionary.code(df, [lexicon], keep=["nope"]), lambda: readability.readability(df, text_col="nope"),
+                lambda: vectors.sentence_embeddings(df, by_letters), lambda: vectors.score_archetypes(df, {"a": {"b": ["c"]}}, by_letters), lambda: gather.gather_rows(df, ["nope"], [])):
+        with pytest.raises(ValueError, match="not found"):
+            run()
