@@ -290,11 +290,11 @@ def _basis(k: int) -> list[float]:
 
 
 @query("""WITH u AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings)
-SELECT vec_id, round(sum(x * CASE WHEN d % 4 = 0 THEN 1.0 WHEN d % 4 = 1 THEN -0.5 ELSE 0 END) / sqrt(sum(CAST(x AS DOUBLE) * x)) / sqrt(16 * 1.25), 4) AS arch__a,
-round(sum(x * CASE WHEN (d + 1) % 4 = 0 THEN 1.0 WHEN (d + 1) % 4 = 1 THEN -0.5 ELSE 0 END) / sqrt(sum(CAST(x AS DOUBLE) * x)) / sqrt(16 * 1.25), 4) AS arch__b FROM u GROUP BY vec_id""")
+SELECT vec_id, round(sum(x * CASE WHEN d % 4 = 0 THEN 1.0 WHEN d % 4 = 1 THEN -0.5 ELSE 0 END) / sqrt(sum(CAST(x AS DOUBLE) * x)) / sqrt(16 * 1.25), 4) + 0.0 AS arch__a,
+round(sum(x * CASE WHEN (d + 1) % 4 = 0 THEN 1.0 WHEN (d + 1) % 4 = 1 THEN -0.5 ELSE 0 END) / sqrt(sum(CAST(x AS DOUBLE) * x)) / sqrt(16 * 1.25), 4) + 0.0 AS arch__b FROM u GROUP BY vec_id""")
 def archetype_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors.archetype_scores(table(spark, sf_dir, "embeddings"), [("a", _basis(0)), ("b", _basis(1))], "embedding")
-    return _rounded(out.select("vec_id", "arch__a", "arch__b"), 4)
+    return out.select("vec_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("arch__a", "arch__b")])  # no negative zero
 
 
 @query("SELECT l_returnflag, CAST(coalesce(sum(w), 0) AS BIGINT) AS l_quantity, round(coalesce(sum(w * l_discount) / nullif(sum(w), 0), 0), 4) AS l_discount, round(coalesce(sum(w * l_tax) / nullif(sum(w), 0), 0), 4) AS l_tax FROM (SELECT *, CASE WHEN l_quantity > 0 THEN CAST(l_quantity AS DOUBLE) END AS w FROM lineitem) GROUP BY l_returnflag")
