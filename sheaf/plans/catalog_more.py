@@ -5,12 +5,12 @@ folder and read back where a query is about reading or writing."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
 from sheaf.operators import dictionary, features, gather, intervals, lexical, readability, speech, transcripts, vectors
-from sheaf.plans.catalog import _LEX, _READ, _TOKENS, _W, _basis, _rounded, _timed, query
+from sheaf.plans.catalog import _LEX, _READ, _TOKENS, _W, _basis, _rounded, query
 from sheaf.runtime import new_path, spread, table
 from sheaf.sources import files, subtitles
 
