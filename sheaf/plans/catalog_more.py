@@ -216,10 +216,12 @@ def embedding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- texts
 
-_FACTORS = """list_reduce(list_transform({l}, lambda x: {{'seen': [x], 'size': 0, 'closed': 0.0::DOUBLE}}),
- lambda a, x: CASE WHEN len(list_distinct(list_concat(a.seen, x.seen))) / (a.size + 1)::DOUBLE <= 0.72::DOUBLE THEN {{'seen': x.seen[1:0], 'size': 0, 'closed': a.closed + 1}}
- ELSE {{'seen': list_distinct(list_concat(a.seen, x.seen)), 'size': a.size + 1, 'closed': a.closed}} END, {{'seen': {l}[1:0], 'size': 0, 'closed': 0.0::DOUBLE}})"""
-_FACTOR = "coalesce(nullif({f}.closed + CASE WHEN {f}.size > 0 THEN (1 - len({f}.seen) / {f}.size::DOUBLE) / (1 - 0.72::DOUBLE) ELSE 0 END, 0), 1)"
+_NEW = "CASE WHEN list_contains(a.seen, x.seen[1]) THEN 0 ELSE 1 END"
+_FACTORS = """list_reduce(list_transform({l}, lambda x: {{'seen': [x], 'n': 0, 'size': 0, 'closed': 0.0::DOUBLE}}),
+ lambda a, x: CASE WHEN (a.n + NEW) / (a.size + 1)::DOUBLE <= 0.72::DOUBLE THEN {{'seen': x.seen[1:0], 'n': 0, 'size': 0, 'closed': a.closed + 1}}
+ ELSE {{'seen': CASE WHEN list_contains(a.seen, x.seen[1]) THEN a.seen ELSE list_append(a.seen, x.seen[1]) END, 'n': a.n + NEW, 'size': a.size + 1, 'closed': a.closed}} END,
+ {{'seen': {l}[1:0], 'n': 0, 'size': 0, 'closed': 0.0::DOUBLE}})""".replace("NEW", _NEW)
+_FACTOR = "coalesce(nullif({f}.closed + CASE WHEN {f}.size > 0 THEN (1 - {f}.n / {f}.size::DOUBLE) / (1 - 0.72::DOUBLE) ELSE 0 END, 0), 1)"
 
 
 @query(f"""WITH tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents), f AS (SELECT doc_id, len(t) AS n, {_FACTORS.format(l='t')} AS a, {_FACTORS.format(l='list_reverse(t)')} AS b FROM tok)
