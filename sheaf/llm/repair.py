@@ -8,7 +8,7 @@ every 64th symbol, so any range of ids decodes without the rest.
 A round counts the shard's pairs, takes all that occur at least ``least`` times as rules
 and replaces their occurrences; where chosen pairs overlap the more frequent one wins, then
 the left one. Rounds go on until no pair is that frequent. A pair of symbols that both
-existed before a round only loses occurrences in it, so after the first round only the
+existed before a round only loses occurrences in it, so once little is replaced only the
 places beside new symbols and the places of pairs still frequent are counted again.
 
 ``least`` is 8: a rule takes 12 bytes and each of its occurrences saves two to three, so
@@ -31,7 +31,7 @@ shards, so a shard holds at least one document, however long. Other columns are
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -49,43 +49,45 @@ STEP = 64
 _HEADER = 9
 
 
-def _overlapping(left: np.ndarray, right: np.ndarray, look: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Where every other place of a run of one symbol is, whose pair overlaps the one before."""
+def _overlapping(left: np.ndarray, right: np.ndarray, look: np.ndarray, after: np.ndarray | None) -> np.ndarray:
+    """Where every other place of a run of one symbol is, whose pair overlaps the one before.
+    ``after`` has the places after those looked at, if these are not the next ones."""
     twin = np.flatnonzero(left == right)
     if len(twin) < 2:
         return twin[:0]
     index = np.arange(len(twin))
-    opens = np.concatenate(([True], after[twin[:-1]] != look[twin[1:]]))
+    follows = look[twin[:-1]] + 1 if after is None else after[twin[:-1]]
+    opens = np.concatenate(([True], follows != look[twin[1:]]))
     return twin[(index - np.maximum.accumulate(np.where(opens, index, 0))) % 2 == 1]
 
 
-def _by_pair(left: np.ndarray, right: np.ndarray, place: np.ndarray, leave: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs as left << 32 | right in ascending order, and the place of each, but those at ``leave``."""
+def _by_pair(left: np.ndarray, right: np.ndarray, place: np.ndarray, leave: np.ndarray, size: int) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray], int]:
+    """Pairs in ascending order but those at ``leave``, the places of given ones of them, and
+    the bits of a right symbol; a left symbol stands above these."""
     bits = size.bit_length()
     symbol = (64 - bits) // 2
     if max(int(left.max()), int(right.max())) >> symbol:
         left, right, place = (np.delete(x, leave) for x in (left, right, place))
         keys = left.astype(np.uint64) << np.uint64(32) | right
         order = np.argsort(keys, kind="stable")
-        return keys[order], place[order]
+        return keys[order], lambda at: place[order[at]], 32
     keys = left.astype(np.uint64)  # pair and place in one integer: a sort of values is much faster
     keys <<= np.uint64(symbol)
     keys |= right
     keys <<= np.uint64(bits)
-    keys |= place.astype(np.uint64)
+    keys |= place.view(np.uint64)
     keys[leave] = np.iinfo(np.uint64).max
     keys.sort()
     keys = keys[: len(keys) - len(leave)]
-    found = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
-    keys >>= np.uint64(bits)
-    return (keys >> np.uint64(symbol)) << np.uint64(32) | keys & np.uint64((1 << symbol) - 1), found
+    return keys >> np.uint64(bits), lambda at: (keys[at] & np.uint64((1 << bits) - 1)).view(np.int64), symbol
 
 
 def compress(ids: np.ndarray, first: int, least: int = 8):
     """(symbols, rules as an n x 2 array, expansion length of each rule).
 
-    While rounds replace much, the sequence is closed up after each; then places are linked
-    to their neighbours instead, so that a round costs what it looks at."""
+    While rounds replace much, they look at all places and the sequence is closed up after
+    each; then places are linked to their neighbours instead, and a round costs what it looks
+    at."""
     if least < 2:
         raise ValueError("a rule needs two occurrences")
     seq = ids.astype(np.uint32)
@@ -94,13 +96,14 @@ def compress(ids: np.ndarray, first: int, least: int = 8):
     made, linked = 0, False
     free = np.iinfo(np.int32).max
     rank = np.full(len(seq) + 2, free, dtype=np.int32)  # of the pair that starts here; both ends have none
-    look = np.arange(max(0, len(seq) - 1))  # places whose pairs may be frequent
+    every = np.arange(max(0, len(seq) - 1))
+    look = every  # places whose pairs may be frequent
     while len(look):
-        every = len(look) == len(seq) - 1
-        after = nxt[look] if linked else look + 1
-        left, right = (seq[:-1], seq[1:]) if every and not linked else (seq[look], seq[after])
+        size = len(seq)
+        after = nxt[look] if linked else None
+        left, right = (seq[look], seq[after]) if linked else (seq[:-1], seq[1:])
         odd = _overlapping(left, right, look, after)
-        run, place = _by_pair(left, right, look, odd, len(seq))
+        run, places, symbol = _by_pair(left, right, look, odd, size)
         opens = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         counts = np.diff(np.append(opens, len(run)))
         often = np.flatnonzero(counts >= least)
@@ -108,46 +111,49 @@ def compress(ids: np.ndarray, first: int, least: int = 8):
             break
         often = often[np.argsort(-counts[often], kind="stable")]
         pairs, n = run[opens[often]], counts[often]
-        spread = np.repeat(opens[often] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        hit = place[spread]
+        hit = places(np.repeat(opens[often] - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
         rank[hit] = np.repeat(np.arange(len(often), dtype=np.int32), n)
-        hit = np.sort(hit) if linked else np.flatnonzero(rank[: len(seq)] < free)
         # of pairs that overlap the more frequent one wins, then the left one
-        own, before, behind = rank[hit], rank[prv[hit] if linked else hit - 1], rank[nxt[hit] if linked else hit + 1]
-        wins = (own < before) & (own <= behind)
+        if linked:
+            own = rank[hit]
+            at = hit[(own < rank[prv[hit]]) & (own <= rank[nxt[hit]])]
+        else:
+            here, wins = rank[:size], np.ones(size, dtype=bool)
+            wins[1:] = here[1:] < here[:-1]
+            wins &= here <= rank[1 : size + 1]
+            wins &= here < free
+            at = np.flatnonzero(wins)
+        own = rank[at]
         # what too few occurrences are left for is not replaced; the most frequent pair always is
-        uses = np.bincount(own[wins], minlength=len(often))
-        enough = uses >= least
-        wins &= enough[own]
-        rank[hit] = free
-        at, used = hit[wins], np.flatnonzero(enough)
+        enough = np.bincount(own, minlength=len(often)) >= least
+        at, own, used = at[enough[own]], own[enough[own]], np.flatnonzero(enough)
         name = np.zeros(len(often), dtype=np.uint32)
         name[used] = np.arange(first + made, first + made + len(used), dtype=np.uint32)
-        seq[at] = name[own[wins]]
-        two = np.stack(((pairs[used] >> np.uint64(32)).astype(np.uint32), pairs[used].astype(np.uint32)), axis=1)
+        two = np.stack((pairs[used] >> np.uint64(symbol), pairs[used] & np.uint64((1 << symbol) - 1)), axis=1).astype(np.uint32)
         rules.append(two)
         lengths = np.concatenate((lengths, _length(two, first, lengths)))
         made += len(used)
-        # counted again: frequent pairs that lost, and what is beside new symbols
-        if not linked and 16 * len(at) < len(seq):
-            linked, size = True, len(seq)
+        if not linked and 16 * len(at) < size:
+            linked = True
             nxt, prv, gone = np.arange(1, size + 1), np.arange(-1, size), np.zeros(size + 1, dtype=bool)
             again = np.zeros(size + 1, dtype=bool)
-            rank = np.full(size + 2, free, dtype=np.int32)
+        seq[at] = name[own]
         if linked:
+            rank[hit] = free
             out = nxt[at]
             nxt[at], prv[nxt[out]], gone[out] = nxt[out], at, True
+            # counted again: frequent pairs that lost, and what is beside new symbols
             again[hit] = again[look[odd]] = again[at] = again[prv[at]] = True
             look = np.flatnonzero(again[:-1])
             again[look] = again[-1] = False
             look = look[~gone[look] & (nxt[look] < size)]
         else:
-            again, keep = np.zeros(len(seq), dtype=bool), np.ones(len(seq), dtype=bool)
-            again[hit] = again[look[odd]] = again[at] = again[at - 1] = True
+            keep = np.ones(size, dtype=bool)
             keep[at + 1] = False
-            seq, again = seq[keep], again[keep]
+            seq = seq[keep]
             rank = rank[: len(seq) + 2]
-            look = np.flatnonzero(again[:-1])
+            rank.fill(free)
+            look = every[: len(seq) - 1]
     if linked:
         seq = seq[~gone[:-1]]
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths
