@@ -3,12 +3,13 @@
 Sound is folded into twelve pitch classes per frame. Sixteen filters look at rectangles of
 that image through its integral image; each gives two bits, so every frame position gives
 one packed 32-bit integer. Two integers APART places from each other are 64 bits, of which
-each of several fixed, partially overlapping choices of KEY_BITS makes a key. Recordings
+each of several fixed, partially overlapping choices of bits makes a key. Recordings
 vote by each key they share for the offset between its two places; at the offset with most
 votes the differing bits over the overlap decide. A cut off the frame grid or noise changes
 some bits of nearly every integer, so all 64 bits seldom agree, but some choice does;
-choices of both integers meet by chance less often than single integers do. Keys are longer
-and more in larger tables (:func:`extra_bits`), so chance meetings grow as the table does.
+choices of both integers meet by chance less often than single integers do. The choices are
+the same for tables of every size, so what else a table holds does not decide whether two
+recordings meet; chance meetings grow with the square of the table, at LINK_BITS slowly.
 
 Recordings that align without an offset, copies of one cut, form a class, so a group of
 thousands of them costs no pairs. In a round of :func:`same_cuts` all that share a key at a
@@ -52,9 +53,11 @@ WIDTH = 16
 #: Distance of the two integers that vote together, half a filter image; less if a shorter
 #: overlap is asked for.
 APART = 8
-#: Choices of bits, bits in each, and the places in a table up to which these hold.
-KEYS, KEY_BITS, KEY_PLACES = 16, 40, 1 << 19
-MOST_BITS = 54
+#: Choices of bits and bits in each, for copies of one cut and for links.
+KEYS, KEY_BITS = 16, 40
+LINK_KEYS, LINK_BITS = 28, 45
+#: Bounds of :func:`extra_bits`.
+KEY_PLACES, MOST_BITS = 1 << 19, 54
 #: Members of a group whose places come together before they are dealt out by keys.
 GROUP_BLOCK = 1024
 #: Keys that one task joins.
@@ -74,22 +77,19 @@ def _filters() -> list[tuple[int, int, int, int]]:
 FILTERS = _filters()
 
 
-def key_masks(extra: int = 0) -> list[int]:
+def key_masks(keys: int = KEYS, bits: int = KEY_BITS) -> list[int]:
     """The choices of bits as signed 64-bit masks: for each, the first bits by a digest."""
     masks = []
-    for k in range(KEYS + extra):
-        bits = sorted(range(64), key=lambda b: hashlib.md5(f"{k} {b}".encode()).digest())[: KEY_BITS + extra]
-        mask = sum(1 << b for b in bits)
+    for k in range(keys):
+        mask = sum(1 << b for b in sorted(range(64), key=lambda b: hashlib.md5(f"{k} {b}".encode()).digest())[:bits])
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
 
 def extra_bits(places: int) -> int:
-    """Bits by which keys are longer, and choices by which they are more: three for each
-    doubling of the places over KEY_PLACES. Bits of neighbouring filters depend on each
-    other, and three of them halve the chance of two places to agree; so a place meets others
-    by chance about as often in larger tables. Choices of more than MOST_BITS would be too
-    much alike, so beyond some 13 million places chance meetings grow faster than the table.
+    """Bits by which keys would be longer, and choices by which they would be more, for chance
+    meetings to grow as the table does: three for each doubling of the places over KEY_PLACES.
+    For a caller who passes them to :func:`align`; links then depend on the table's size.
     """
     return min(MOST_BITS - KEY_BITS, math.ceil(3 * math.log2(places / KEY_PLACES))) if places > KEY_PLACES else 0
 
@@ -329,8 +329,8 @@ def align(classes: DataFrame, *, most_error: float, least_votes: int, least_over
 
     ``classes``: class_id, items, and group_id if near copies have been grouped. Of several
     offsets with most votes the smallest in size decides, then the smaller; what is compared
-    are the smallest members that voted for it. ``extra`` sets the length of keys, which
-    otherwise follows the number of places.
+    are the smallest members that voted for it. ``extra`` asks for
+    KEYS and KEY_BITS with so many more of each.
     """
     ship(classes.sparkSession)
     apart = _apart(least_overlap)
@@ -339,7 +339,7 @@ def align(classes: DataFrame, *, most_error: float, least_votes: int, least_over
     else:
         placed = materialize(_places(classes.withColumn("group_id", F.col("class_id")), apart), "places")
     count = placed.count()
-    masks = key_masks(extra_bits(count) if extra is None else extra)
+    masks = key_masks(LINK_KEYS, LINK_BITS) if extra is None else key_masks(KEYS + extra, KEY_BITS + extra)
     keyed = placed.select(_keys(masks), "g", "c", "t")
     # dealt once for both sides, in parts that are sorted in memory
     keyed = keyed.repartition(max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // TASK_KEYS), "key")

@@ -219,6 +219,19 @@ def test_altered_sound_aligns_like_brute_force(spark):
         assert len(want) >= 50 and len(want & found) >= least * len(want), (start, noise, len(want & found), len(want))
 
 
+def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    rng, rows = np.random.default_rng(14), []
+    for k in range(0, 120, 2):
+        rate, x = chroma.render(rng.normal(0, 1, 64).tolist())
+        y = x[600:] + 0.2 * rng.normal(0, 1, len(x) - 600)
+        rows += [(k + j, bytearray(chroma.items(chroma.chroma(z, rate)).astype("<u4").tobytes())) for j, z in enumerate((x, y))]
+    classes = spark.createDataFrame(rows, "class_id long, items binary")
+    found = {(r["a"], r["b"]) for r in chroma.align(classes, most_error=0.15, least_votes=2, least_overlap=20).collect()}
+    assert len(found) >= 54 and all(b == a + 1 for a, b in found)
+    monkeypatch.setattr(chroma, "KEY_PLACES", 1)  # as in a table of many more places
+    assert {(r["a"], r["b"]) for r in chroma.align(classes, most_error=0.15, least_votes=2, least_overlap=20).collect()} == found
+
+
 def test_copies_of_a_cut_are_one_class_and_no_link_is_lost(spark):
     rng = np.random.default_rng(12)
     melodies, rows = rng.normal(0, 1, (12, 64)), []
