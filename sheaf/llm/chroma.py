@@ -13,12 +13,12 @@ recordings meet; chance meetings grow with the square of the table, at LINK_BITS
 
 Recordings that align without an offset, copies of one cut, form a class, so a group of
 thousands of them costs no pairs. In a round of :func:`same_cuts` all that share a key at a
-place meet the first of them only, each is compared with the one it meets most, and what
+place meet the first of them only, each is compared with those that it meets, and what
 these comparisons connect becomes one class; the next round does the same with classes.
-Links are counted between the classes that are left, at any offset. All members' keys vote
-there, but a value at a place once for a class, and of each class the smallest member that
-voted is compared. What is verified are pairs with at least ``least_votes`` votes at one
-offset.
+Classes that are left are aligned at any offset; those that align without one become one
+class too, links are the other pairs. All members' keys vote there, but a key at a place
+once for a class, and of two classes the members with most votes for each other are
+compared. What is verified are pairs with at least ``least_votes`` votes at one offset.
 
 Silence says nothing about an alignment, so places in silence do not vote, and of a held
 sound, a run of equal places, only the first and the last do.
@@ -287,8 +287,8 @@ def _apart(least_overlap: int) -> int:
 
 
 def _grouped_places(grouped: DataFrame, apart: int, every: int = 1, turn: int = 0) -> DataFrame:
-    """(value, g, c, t) of classes ``class_id, items, group_id``: each value at a place once for
-    a group. Members come together in blocks, so that most of what they share is left out
+    """(value, g, c, t, many) of classes ``class_id, items, group_id``: each value at a place once
+    for a group, ``many`` if the group has several members. Members come together in blocks, so that most of what they share is left out
     before it is dealt by value."""
     several = grouped.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(grouped.join(several, "group_id"), "members")
@@ -296,7 +296,7 @@ def _grouped_places(grouped: DataFrame, apart: int, every: int = 1, turn: int =
     block = F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / GROUP_BLOCK))
     near = members.repartition("group_id", block).sortWithinPartitions("group_id", block)
     shared = _places(near, apart, every, turn).groupBy("value", "g", "t").agg(F.min("c").alias("c")).select("value", "g", "c", "t")
-    return materialize(alone.unionByName(shared), "places")
+    return materialize(alone.withColumn("many", F.lit(False)).unionByName(shared.withColumn("many", F.lit(True))), "places")
 
 
 def same_cuts(classes: DataFrame, *, most_error: float, least_votes: int, least_overlap: int, every: int = 8, rounds: int = 2) -> DataFrame:
@@ -314,9 +314,10 @@ def same_cuts(classes: DataFrame, *, most_error: float, least_votes: int, least_
         half = key_masks()[turn % 2 * KEYS // 2 :][: KEYS // 2]
         keyed = placed.select(_keys(half, F.col("t")), "g", "c")
         first = keyed.groupBy("key").agg(F.min("g").alias("a"), F.min_by("c", "g").alias("ac"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = keyed.join(first, "key").where("g <> a").groupBy("g", "a").agg(F.count("*").alias("count"), F.min("c").alias("c"), F.min("ac").alias("ac"))
-        best = met.where(F.col("count") >= least_votes).groupBy("g").agg(F.max(F.struct("count", (-F.col("a")).alias("a"), "c", "ac")).alias("best"))
-        pairs = best.select("g", (-F.col("best.a")).alias("first"), F.col("best.ac").alias("a"), F.col("best.c").alias("b"), F.lit(0).alias("offset"))
+        met = keyed.join(first, "key").where("g <> a").groupBy("g", "a", "c", "ac").agg(F.count("*").alias("n"))
+        best = met.groupBy("g", "a").agg(F.sum("n").alias("count"), F.max(F.struct("n", (-F.col("c")).alias("c"), (-F.col("ac")).alias("ac"))).alias("best"))
+        pairs = best.where(F.col("count") >= least_votes).select("g", F.col("a").alias("first"), (-F.col("best.ac")).alias("a"),
+                                                                 (-F.col("best.c")).alias("b"), F.lit(0).alias("offset"))
         edges = _verified(pairs, classes, most_error, least_overlap)
         joined = components(edges.select(F.col("first").alias("a"), F.col("g").alias("b")))
         named = grouped.join(joined, F.col("group_id") == F.col("node"), "left")
@@ -324,32 +325,42 @@ def same_cuts(classes: DataFrame, *, most_error: float, least_votes: int, least_
     return grouped
 
 
+def _link_keys(placed: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, g, t, m) of places: a key at a place once for a class, however many of its values
+    have it, so two classes of many members meet no more often than two of one. The smallest
+    such member is ``g`` xor ``m``, and m is 0 for most rows, which packs well."""
+    m = F.col("c").bitwiseXOR(F.col("g")).alias("m")
+    once = placed.where("many").select(_keys(masks), "g", "c", "t").groupBy("key", "g", "t").agg(F.min("c").alias("c"))
+    return placed.where("not many").select(_keys(masks), "g", "t", m).unionByName(once.select("key", "g", "t", m))
+
+
 def align(classes: DataFrame, *, most_error: float, least_votes: int, least_overlap: int, extra: int | None = None) -> DataFrame:
     """(a, b, offset, error, overlap) for the groups that align, a < b.
 
     ``classes``: class_id, items, and group_id if near copies have been grouped. Of several
     offsets with most votes the smallest in size decides, then the smaller; what is compared
-    are the smallest members that voted for it. ``extra`` asks for
-    KEYS and KEY_BITS with so many more of each.
+    are the members with most votes for each other there, the smallest of several. ``extra``
+    asks for KEYS and KEY_BITS with so many more of each.
     """
     ship(classes.sparkSession)
     apart = _apart(least_overlap)
     if "group_id" in classes.columns:
         placed = _grouped_places(classes, apart)
     else:
-        placed = materialize(_places(classes.withColumn("group_id", F.col("class_id")), apart), "places")
+        placed = materialize(_places(classes.withColumn("group_id", F.col("class_id")), apart).withColumn("many", F.lit(False)), "places")
     count = placed.count()
     masks = key_masks(LINK_KEYS, LINK_BITS) if extra is None else key_masks(KEYS + extra, KEY_BITS + extra)
-    keyed = placed.select(_keys(masks), "g", "c", "t")
+    keyed = _link_keys(placed, masks)
     # dealt once for both sides, in parts that are sorted in memory
     keyed = keyed.repartition(max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // TASK_KEYS), "key")
-    left = keyed.select("key", F.col("g").alias("a"), F.col("c").alias("ca"), F.col("t").alias("ta"))
-    right = keyed.select("key", F.col("g").alias("b"), F.col("c").alias("cb"), F.col("t").alias("tb"))
-    votes = left.join(right, "key").where("a < b").groupBy("a", "b", (F.col("ta") - F.col("tb")).alias("offset"))
-    votes = votes.agg(F.count("*").alias("count"), F.min("ca").alias("ca"), F.min("cb").alias("cb")).where(F.col("count") >= least_votes)
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("count", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("o"), "ca", "cb")).alias("best"))
+    left = keyed.select("key", F.col("g").alias("a"), F.col("m").alias("ma"), F.col("t").alias("ta"))
+    right = keyed.select("key", F.col("g").alias("b"), F.col("m").alias("mb"), F.col("t").alias("tb"))
+    votes = left.join(right, "key").where("a < b").groupBy("a", "b", (F.col("ta") - F.col("tb")).alias("offset"), "ma", "mb").agg(F.count("*").alias("n"))
+    members = F.struct("n", (-F.col("a").bitwiseXOR(F.col("ma"))).alias("ca"), (-F.col("b").bitwiseXOR(F.col("mb"))).alias("cb"))
+    votes = votes.groupBy("a", "b", "offset").agg(F.sum("n").alias("count"), F.max(members).alias("m")).where(F.col("count") >= least_votes)
+    best = votes.groupBy("a", "b").agg(F.max(F.struct("count", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("o"), "m")).alias("best"))
     pairs = best.select(F.col("a").alias("ga"), F.col("b").alias("gb"), (-F.col("best.o")).cast("int").alias("offset"),
-                        F.col("best.ca").alias("a"), F.col("best.cb").alias("b"))
+                        (-F.col("best.m.ca")).alias("a"), (-F.col("best.m.cb")).alias("b"))
     checked = _verified(pairs, classes, most_error, least_overlap)
     return checked.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "offset", "error", "overlap")
 
@@ -363,8 +374,14 @@ def recordings(rows: DataFrame, *, id_col: str, media_col: str, decode: Decoder
     distinct = materialize(sound.groupBy("items").agg(F.min("id").alias("class_id")).select("class_id", "items"), "classes")
     grouped = same_cuts(distinct.where("class_id is not null"), most_error=most_error, least_votes=least_votes, least_overlap=least_overlap)
     linked = materialize(align(grouped, most_error=most_error, least_votes=least_votes, least_overlap=least_overlap), "links")
-    ends = linked.select(F.col("a").alias("group_id")).union(linked.select("b")).groupBy("group_id").agg(F.count("*").alias("n"))
-    named = grouped.join(ends, "group_id", "left").select("items", F.col("group_id").alias("class_id"), "n")
+    root = components(linked.where("offset = 0")).withColumnRenamed("root", "whole")
+    far = linked.where("offset <> 0").select("a", "b")
+    for end in ("a", "b"):
+        far = far.join(root.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("whole", end)).drop("whole")
+    far = far.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = far.select(F.col("a").alias("whole")).union(far.select("b")).groupBy("whole").agg(F.count("*").alias("n"))
+    whole = grouped.join(root, F.col("group_id") == F.col("node"), "left").select("items", F.coalesce("whole", "group_id").alias("whole"))
+    named = whole.join(ends, "whole", "left").select("items", F.col("whole").alias("class_id"), "n")
     return found.join(named, "items", "left").select(
         "id", (F.length("items") / 4).cast("long").alias("n_items"), F.crc32("items").alias("items_crc32"),
         "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),

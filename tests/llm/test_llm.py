@@ -232,6 +232,28 @@ def test_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in chroma.align(classes, most_error=0.15, least_votes=2, least_overlap=20).collect()} == found
 
 
+def test_classes_of_many_members_meet_by_a_key_once(spark):
+    rng = np.random.default_rng(15)
+    rate, x = chroma.render(rng.normal(0, 1, 64).tolist())
+    prints = {chroma.items(chroma.chroma(x + 0.02 * k * rng.normal(0, 1, len(x)), rate)).astype("<u4").tobytes() for k in range(60)}
+    rows = [(k, bytearray(p), 30 * (k // 30)) for k, p in enumerate(sorted(prints))]  # left apart in two
+    grouped = spark.createDataFrame(rows, "class_id long, items binary, group_id long")
+    keyed = chroma._link_keys(chroma._grouped_places(grouped, chroma.APART), chroma.key_masks())
+    assert keyed.count() == keyed.select("key", "g", "t").distinct().count()
+    found = chroma.align(grouped, most_error=0.15, least_votes=2, least_overlap=20).collect()
+    assert [(r["a"], r["b"], r["offset"]) for r in found] == [(0, 30, 0)]
+
+
+def test_classes_that_align_without_an_offset_are_one(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    rate, x = chroma.render(rng.normal(0, 1, 64).tolist())
+    sounds = [x + 0.03 * k * rng.normal(0, 1, len(x)) for k in range(6)] + [x[5 * chroma.HOP :]]
+    df = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(sounds)], "id long, media array<double>")
+    monkeypatch.setattr(chroma, "same_cuts", lambda classes, **_: classes.withColumn("group_id", F.col("class_id")))  # rounds that find nothing
+    out = chroma.recordings(df, id_col="id", media_col="media", decode=lambda m: (11025, np.array(m))).collect()
+    assert {r["id"]: (r["class_id"], r["n_links"]) for r in out} == {**{k: (0, 1) for k in range(6)}, 6: (6, 1)}
+
+
 def test_copies_of_a_cut_are_one_class_and_no_link_is_lost(spark):
     rng = np.random.default_rng(12)
     melodies, rows = rng.normal(0, 1, (12, 64)), []
