@@ -80,7 +80,7 @@ def lex_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lex_mtld_vocd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sixteen metrics; the sampled one has no SQL form."""
-    return _rounded(lexical.lexical_richness(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return _rounded(lexical.lexical_richness(lexical.lengths_together(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))))
 
 
 @query("SELECT concat_ws(' | ', nullif(source, ''), nullif(CAST(doc_id AS VARCHAR), '')) AS text_id, source, doc_id, concat_ws(' ', nullif(lang, ''), nullif(text, '')) AS text FROM documents WHERE concat_ws(' ', nullif(lang, ''), nullif(text, '')) <> ''")
